@@ -68,7 +68,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = WORDS.findall((text or "").translate(_LOWER) if not (text or "").isascii() else text.lower())
+    text = text or ""
+    words = WORDS.findall(text.lower() if text.isascii() else text.translate(_LOWER))
     if not words:
         return np.empty(0, dtype=np.uint64)
     known = _WORDS
