@@ -344,12 +344,19 @@ def test_blocks_find_all_similar_pairs(spark, monkeypatch):
     rng = random.Random(4)
     base = [words(random.Random(k), 100).split() for k in range(4)]
     texts = {i: " ".join(base[i % 4] + [f"x{i}"]) for i in range(24)}
-    rows = [(7, i, i if i % 4 else 0, bytearray(near_dup.signature(near_dup.shingle_set(t)).tobytes())) for i, t in texts.items()]
-    members = spark.createDataFrame(rows, "key long, rep long, component long, signature binary")
-    got = {(r["a"], r["b"]) for r in near_dup._blocks(members).collect()}
-    component = {r[1]: r[2] for r in rows}
-    want = {(a, b) for a in texts for b in texts if a < b and a % 4 == b % 4 and component[a] != component[b]}
-    assert want <= got
+    signatures = {i: near_dup.signature(near_dup.shingle_set(t)) for i, t in texts.items()}
+    component = {i: i if i % 4 else 0 for i in texts}
+    keys = {i: near_dup.band_keys(s[None])[0].tolist() for i, s in signatures.items()}
+    members = spark.createDataFrame([(k, i, component[i]) for i in texts for k in keys[i]], "key long, rep long, component long")
+    carried = spark.createDataFrame([(i, bytearray(signatures[i].tobytes()), bytearray(near_dup._packed(t))) for i, t in texts.items()], "rep long, signature binary, packed binary")
+    got = [(r["a"], r["b"]) for r in near_dup._blocks(members, carried).collect()]
+    assert all(a % 4 == b % 4 for a, b in got)
+    parent = dict(component)
+    for _ in texts:
+        for a, b in got:
+            low = min(parent[a], parent[b])
+            parent = {i: low if p in (parent[a], parent[b]) else p for i, p in parent.items()}
+    assert all(parent[i] == i % 4 for i in texts)
 
 
 def test_posterior_bounds():

@@ -12,8 +12,9 @@ least THRESHOLD percent are linked, and each connected group keeps its smallest
    that its similarity reaches the threshold falls below MISS. Survivors are verified exactly on full sets: first the
    best candidate of each class, then only pairs that are not yet connected.
 5. Buckets whose members aren't all connected by then compare, in blocks of bounded size, the members outside the
-   largest connected part with all others; survivors are verified exactly as well. So every pair that shares a band is
-   either connected, pruned by its posterior, or exactly verified: no bucket has a cap.
+   largest connected part with all others; survivors are verified exactly in the block, which passes on only the links
+   that connect its parts. So every pair that shares a band is either connected, pruned by its posterior, or exactly
+   verified: no bucket has a cap.
 
 A pair at the threshold shares no band with a probability of (1 - 0.85 ** ROWS) ** BANDS = 8e-7.
 
@@ -143,15 +144,20 @@ def _stacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
 
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """Rows of BANDS keys for rows of signatures."""
+    rows = signatures.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    total = np.arange(BANDS, dtype=np.uint64)[None, :] * _C[-1]
+    for i in range(ROWS):
+        total = _mixed(total + rows[:, :, i] * _C[i])
+    return total.view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = _stacked(batch.column(1)).astype(np.uint64).reshape(-1, BANDS, ROWS)
-        total = np.arange(BANDS, dtype=np.uint64)[None, :] * _C[-1]
-        for i in range(ROWS):
-            total = _mixed(total + rows[:, :, i] * _C[i])
-        keys = total.view(np.int64).reshape(-1)
+        keys = band_keys(_stacked(batch.column(1))).reshape(-1)
         reps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(reps)], ["key", "rep"])
 
@@ -261,40 +267,76 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return met.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """a, b, matches: surviving pairs, in the same bucket, of members of different components.
-
-    members: key, rep, component, signature. Those outside a bucket's largest component (the outer ones) meet all.
+class _Block:
+    """Outer rows against inner rows of one bucket; finds links that connect components, at most one each."""
+
+    def __init__(self, table: pa.Table):
+        get = lambda c: table.column(c).to_numpy()
+        self.side, self.rep, self.component, self.outside = get("side"), get("rep"), get("component"), get("outside")
+        self.signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+        self.packed, self.sets = table.column("packed"), {}
+        first = self.signatures[:1]
+        self.band = int(np.flatnonzero(band_keys(first)[0] == table.column("key")[0].as_py())[0])
+
+    def members(self, row: int) -> np.ndarray:
+        if row not in self.sets:
+            self.sets[row] = shingle_set(_unpacked(self.packed[row].as_py()))
+        return self.sets[row]
+
+    def similar_to(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` whose full sets are similar to the row's, by one search over all of them."""
+        own, sets = self.members(row), [self.members(int(j)) for j in others]
+        sizes = np.array([len(x) for x in sets])
+        every = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        both = np.add.reduceat((own[at] == every).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+        return others[100 * both >= THRESHOLD * (len(own) + sizes - both)]
+
+    def links(self) -> list[tuple[int, int]]:
+        root, found = self.component.copy(), []
+        inner = np.flatnonzero(self.side == 1)
+        for i in np.flatnonzero(self.side == 0):
+            # Two outer rows meet twice; one of the meetings is enough.
+            others = inner[(root[inner] != root[i]) & (~self.outside[inner] | (self.rep[inner] > self.rep[i]))]
+            if not len(others):
+                continue
+            # A pair that shares several bands belongs to the first of them.
+            agree = (self.signatures[others] == self.signatures[i]).reshape(-1, BANDS, ROWS).all(axis=2)
+            others = others[agree[:, self.band] & (agree.argmax(axis=1) == self.band)]
+            alive, _ = survivors(np.broadcast_to(self.signatures[i], (len(others), HASHES)), self.signatures[others])
+            if not len(alive):
+                continue
+            for j in self.similar_to(i, others[alive]):
+                if root[j] != root[i]:
+                    found.append((min(int(self.rep[i]), int(self.rep[j])), max(int(self.rep[i]), int(self.rep[j]))))
+                    root[root == root[j]] = root[i]
+        return found
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    found = _Block(table).links()
+    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
+def _blocks(members: DataFrame, carried: DataFrame) -> DataFrame:
+    """a, b: verified links between members of the same bucket and of different components.
+
+    members: key, rep, component; carried: rep, signature, packed. Members outside a bucket's largest component (the
+    outer ones) meet all others, in blocks. A task gives no more links than it needs to connect what it saw.
     """
     parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
     main = main.select("key", F.col("main.component").alias("main"), "all", (F.col("all") - F.col("main.n")).alias("outer"))
-    met = members.join(main, "key")
+    met = members.join(main, "key").withColumn("outside", F.col("component") != F.col("main"))
     spread = F.xxhash64("rep")
     blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     own = F.pmod(spread, blocks("outer", OUTER_BLOCK)).cast("int")
     inner = F.pmod(spread, blocks("all", INNER_BLOCK)).cast("int")
-    outer = met.where("component <> main").withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), blocks("all", INNER_BLOCK) - 1))).withColumn("side", F.lit(0))
+    outer = met.where("outside").withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), blocks("all", INNER_BLOCK) - 1))).withColumn("side", F.lit(0))
     every = met.withColumn("y", inner).withColumn("x", F.explode(F.sequence(F.lit(0), blocks("outer", OUTER_BLOCK) - 1))).withColumn("side", F.lit(1))
-    columns = ["key", "x", "y", "side", "rep", "component", "signature"]
-
-    def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        rep, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
-        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
-        outer_rows, inner_rows = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in outer_rows:
-            others = inner_rows[component[inner_rows] != component[i]]
-            alive, matches = survivors(np.broadcast_to(signatures[i], (len(others), HASHES)), signatures[others])
-            if len(alive):
-                j = rep[others[alive]]
-                found.append((np.minimum(rep[i], j), np.maximum(rep[i], j), matches))
-        a, b, m = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (list(zip(*found)) or [[], [], []]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "matches": pa.array(m, pa.int64())})
-
-    groups = outer.select(*columns).unionByName(every.select(*columns)).groupBy("key", "x", "y")
-    return groups.applyInArrow(compare, "a long, b long, matches long").distinct()
+    columns = ["key", "x", "y", "side", "rep", "component", "outside"]
+    dealt = outer.select(*columns).unionByName(every.select(*columns)).join(carried, "rep")
+    return dealt.groupBy("key", "x", "y").applyInArrow(_compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -304,7 +346,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     members = cut(banded.join(shared, "key").where("rep <> low").select("key", "rep", "low"))
     pairs = corpus.prune(members.select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
-    texts = corpus.read_again(pairs)
+    texts = corpus.read_again(members.select(F.col("low").alias("a"), F.col("rep").alias("b")))
 
     best = pairs.groupBy("b").agg(F.max(F.struct("matches", F.negative("a").alias("a"))).alias("best")).select(F.negative(F.col("best.a")).alias("a"), "b")
     links = corpus.verify(best, texts)
@@ -321,11 +363,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = known.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key")
     left = cut(known.join(split, "key", "left_semi"))
     if left.limit(1).count():
-        found = cut(_blocks(left.join(corpus.signatures, "rep")))
-        found = cut(found.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-        more = corpus.verify(found, corpus.read_again(found)) if found.limit(1).count() else found
+        more = cut(_blocks(left, corpus.signatures.join(texts, "rep")))
         if more.limit(1).count():
-            labels = components(links.unionByName(more.select("a", "b")))
+            labels = components(links.unionByName(more))
 
     groups = corpus.classes.select("print", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("print").alias("_print"), F.coalesce("component", "rep").alias("_component"))
     out = corpus.rows.select("doc_id", "n", "print").join(groups, F.col("print") == F.col("_print"), "left")
