@@ -45,7 +45,6 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     group = ["h1", "h2", "salt"]
     dealt = places.repartitionByRange(partitions(docs), *group).sortWithinPartitions(*group, "doc_id", "position")
     stream = Window.partitionBy(*group).orderBy("doc_id", "position")
-    whole = Window.partitionBy(*group).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     same = F.lag("doc_id").over(stream).eqNullSafe(F.col("doc_id")) & (F.row_number().over(stream) > 1)
     seen = dealt.withColumn("first", (~same).cast("int"))
     sums = seen.groupBy(*group).agg(F.sum("first").alias("n"), F.max("doc_id").alias("top"))
