@@ -27,35 +27,77 @@ from threadloom.llm.common import cut
 WINDOW = 1024
 SEPARATOR = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces whose ids a worker remembers; when full, it forgets all and starts again.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers; when full, it forgets all and starts again.
+REMEMBERED = 600_000
 _ENCODERS: dict[str, Encoder] = {}
-# A single blank between two visible ASCII characters always starts a new piece for a byte-level BPE whose pattern
-# takes " ?letters", " ?digits" and " ?others": texts are cut there and the ids of each piece are remembered.
-_BREAK = re.compile(r"(?<=[!-~¡-ɏ])(?= [!-~¡-ɏ])")
+# A single blank between two visible characters of these blocks always starts a new piece for a byte-level BPE whose
+# pattern takes " ?letters", " ?digits" and " ?others": texts are cut there, and each word is encoded once.
+_VISIBLE = "!-~\u00a1-\u024f"
+_PLAIN = re.compile(rf"[{_VISIBLE}](?:.*[{_VISIBLE}])?", re.S)
+_BREAK = re.compile(rf"(?<=[{_VISIBLE}]) (?=[{_VISIBLE}])")
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file, with a bounded memory of pieces."""
+    """Ids of whole texts by a tokenizer file, with a bounded memory of words.
+
+    New words are encoded together, as one text of words with a blank before each; the lengths of the tokens' bytes
+    tell which ids belong to which word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.lengths[i] = len(token)
+        # A byte-level token has a character for each byte; the added ones stand for themselves.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        ids = self._ids(" " + " ".join(words))
+        ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words])
+        stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right") * 4
+        data, start = ids.tobytes(), 0
+        for word, stop in zip(words, stops.tolist()):
+            self.known[word] = data[start:stop]
+            start = stop
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cut = [t.split(" ") for t in texts]
+        fresh = set().union(*(w[1:] for w in cut)).difference(self.known)
+        odd = {w for w in fresh if not _PLAIN.fullmatch(w)}
+        if odd:
+            # Blanks that don't stand alone between visible characters: such texts are cut at the others only.
+            for i, words in enumerate(cut):
+                if not odd.isdisjoint(words) or (len(words) > 1 and not _PLAIN.fullmatch(words[0])):
+                    cut[i] = _BREAK.split(texts[i])
+            fresh = set().union(*(w[1:] for w in cut)).difference(self.known)
+        else:
+            for i, words in enumerate(cut):
+                if len(words) > 1 and not _PLAIN.fullmatch(words[0]):
+                    cut[i] = _BREAK.split(texts[i])
+                    fresh.update(w for w in cut[i][1:] if w not in self.known)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+            fresh = set().union(*(w[1:] for w in cut))
+        # Words with an added token's string go one by one: that token is cut out before the pattern applies.
+        single = [w for w in fresh if any(a in w for a in self.added)]
+        for word in single:
+            self.known[word] = self._ids(" " + word).tobytes()
+        plain = list(fresh.difference(single))
+        if plain:
+            self._learn(plain)
+        return [self._ids(w[0]).tobytes() + b"".join(map(self.known.__getitem__, w[1:])) for w in cut]
+
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        pieces, known = _BREAK.split(text), self.known
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
-        if fresh:
-            if len(known) + len(fresh) > REMEMBERED:
-                known = self.known = {}
-                fresh = list(dict.fromkeys(pieces))
-            for p, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+        return self.encode_all([text])[0]
 
 
 def encoder(path: str) -> Encoder:
@@ -74,12 +116,12 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (zlib-packed little-endian unsigned 32-bit, the separator included) and doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path or _vocabulary()).encode
+        encode_all = encoder(path or _vocabulary()).encode_all
         end = np.array([SEPARATOR], dtype="<u4").tobytes()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ids = [encode(t or "") + end for t in part.column(1).to_pylist()]
+                ids = [x + end for x in encode_all([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([zlib.compress(x, 1) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
                     ["doc_id", "ids", "doc_tokens"],
