@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,61 +41,82 @@ _BREAK = re.compile(rf"(?<=[{_VISIBLE}]) (?=[{_VISIBLE}])")
 class Encoder:
     """Ids of whole texts by a tokenizer file, with a bounded memory of words.
 
-    New words are encoded together, as one text of words with a blank before each; the lengths of the tokens' bytes
-    tell which ids belong to which word.
+    A word of letters, with or without a blank before it, and full stops or commas behind are pieces of the pattern: the
+    model gets the letters, each word once. Other new words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.lengths[i] = len(token)
-        # A byte-level token has a character for each byte; the added ones stand for themselves.
+        self.model = self.tokenizer.model
+        marks = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # A Latin-1 reading of the UTF-8 bytes to the characters by which the vocabulary writes bytes.
+        self.bytes = {b: marks.pre_tokenize_str(chr(b))[0][0][-1] if b < 128 else None for b in range(256)}
+        for b in range(128, 256):
+            text = chr(b)
+            first, second = marks.pre_tokenize_str(text)[0][0]
+            raw = text.encode()
+            self.bytes[raw[0]], self.bytes[raw[1]] = first, second
+        self.bytes = {b: c for b, c in self.bytes.items() if c is not None}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self._ids("\n")
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        ids = self._ids(" " + " ".join(words))
-        ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words])
-        stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right") * 4
-        data, start = ids.tobytes(), 0
-        for word, stop in zip(words, stops.tolist()):
-            self.known[word] = data[start:stop]
-            start = stop
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, blank: str, word: str) -> bytes:
+        """Ids of a word that begins a piece of the pattern, with or without a blank before it."""
+        stem = word.rstrip(".,")
+        if not stem.isalpha():
+            return self._ids(blank + word)
+        key = blank + stem
+        ids = self.stems.get(key)
+        if ids is None:
+            written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.bytes)
+            ids = self.stems[key] = array("I", [t.id for t in self.model.tokenize("\u0120" + written if blank else written)]).tobytes()
+        if len(stem) == len(word):
+            return ids
+        tail = word[len(stem) :]
+        if tail not in self.tails:
+            if len(self.tails) > REMEMBERED:
+                self.tails.clear()
+            self.tails[tail] = self._ids(tail)
+        return ids + self.tails[tail]
+
+    def _word(self, blank: str, word: str) -> bytes:
+        """The same for a word that may go on over single line ends, each of which is a piece."""
+        if "\n" not in word:
+            return self._piece(blank, word)
+        lines = word.split("\n")
+        if not all(map(_PLAIN.fullmatch, lines)):
+            return self._ids(blank + word)
+        return self._piece(blank, lines[0]) + b"".join(self.line_end + self._piece("", x) for x in lines[1:])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.split(" ") for t in texts]
-        fresh = set().union(*(w[1:] for w in cut)).difference(self.known)
-        odd = {w for w in fresh if not _PLAIN.fullmatch(w)}
-        if odd:
-            # Blanks that don't stand alone between visible characters: such texts are cut at the others only.
-            for i, words in enumerate(cut):
-                if not odd.isdisjoint(words) or (len(words) > 1 and not _PLAIN.fullmatch(words[0])):
-                    cut[i] = _BREAK.split(texts[i])
-            fresh = set().union(*(w[1:] for w in cut)).difference(self.known)
-        else:
-            for i, words in enumerate(cut):
-                if len(words) > 1 and not _PLAIN.fullmatch(words[0]):
-                    cut[i] = _BREAK.split(texts[i])
-                    fresh.update(w for w in cut[i][1:] if w not in self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = set().union(*(w[1:] for w in cut))
-        # Words with an added token's string go one by one: that token is cut out before the pattern applies.
-        single = [w for w in fresh if any(a in w for a in self.added)]
-        for word in single:
-            self.known[word] = self._ids(" " + word).tobytes()
-        plain = list(fresh.difference(single))
-        if plain:
-            self._learn(plain)
-        return [self._ids(w[0]).tobytes() + b"".join(map(self.known.__getitem__, w[1:])) for w in cut]
+        known, out = self.known, []
+        if len(known) > REMEMBERED:
+            known.clear()
+            self.stems.clear()
+        for text in texts:
+            if any(a in text for a in self.added):
+                out.append(self._ids(text))
+                continue
+            words = text.split(" ")
+            fresh = set(words[1:]).difference(known)
+            if len(words) > 1 and not (_PLAIN.fullmatch(words[0]) and all(map(_PLAIN.fullmatch, fresh))):
+                # Blanks that don't stand alone between visible characters: the text is cut at the others only.
+                words = _BREAK.split(text)
+                fresh = set(words[1:]).difference(known)
+            for word in fresh:
+                known[word] = self._word(" ", word)
+            out.append(self._word("", words[0]) + b"".join(map(known.__getitem__, words[1:])))
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
