@@ -24,7 +24,9 @@ from threadloom.llm import textstats
 from threadloom.llm.common import cut
 
 FEATURES = 256
-BANDWIDTH = 3.0
+BANDWIDTH = 4.0
+#: Standardised statistics beyond this are cut: a Gaussian kernel says nothing about rows far from all others.
+REACH = 3.0
 RIDGE = 1e-3
 SEED = 20240229
 TRAINING_ROWS = 200_000
@@ -69,7 +71,7 @@ def fourier(z: np.ndarray) -> np.ndarray:
 
 def _matrix(batch: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     z = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in Z])
-    return fourier(np.clip((z - mean) / scale, -8, 8))
+    return fourier(np.clip((z - mean) / scale, -REACH, REACH))
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
