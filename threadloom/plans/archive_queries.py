@@ -205,3 +205,54 @@ def safety_counts(spark, sf_dir):
 @query(_SAFE + "SELECT source_index, title FROM talks WHERE source_index IN (SELECT source_index FROM decided WHERE decision = 'include')")
 def safety_filter(spark, sf_dir):
     return safety.included(X.conversations(spark, sf_dir), _decisions(spark, sf_dir)).select("source_index", "title")
+
+
+_MEMBERS = """WITH m AS (SELECT page_id % 3 AS archive, CASE page_id % 10 WHEN 0 THEN '../up/' || page_id WHEN 1 THEN 'Dir/a.JSON' WHEN 2 THEN 'conversations-' || page_id || '.json' WHEN 3 THEN 'x/conversations.json' WHEN 4 THEN 'c:/' || page_id WHEN 5 THEN 'a\\' || page_id ELSE 'media/' || page_id || '.png' END AS path,
+  length(html) AS size_bytes, CASE WHEN page_id % 7 = 0 THEN 0 ELSE length(html) // (1 + page_id % 5) END AS compressed, page_id % 13 = 0 AS locked, page_id % 17 = 0 AS link, page_id FROM pages)
+SELECT page_id, path, CASE WHEN regexp_matches(path, '(^|/)[Cc]onversations[^/]*\\.json$') THEN 'conversations_json_candidate' WHEN path ILIKE '%.json' THEN 'json' ELSE 'other' END AS detected_kind,
+  array_to_string(list_filter([CASE WHEN path LIKE '../%' OR path LIKE 'c:%' OR contains(path, '\\') THEN 'unsafe_zip_path' END, CASE WHEN count(*) OVER (PARTITION BY archive, lower(path)) > 1 THEN 'duplicate_member_path' END,
+  CASE WHEN locked THEN 'encrypted_member' END, CASE WHEN link THEN 'symlink_member' END, CASE WHEN size_bytes > 5000 THEN 'member_too_large' END,
+  CASE WHEN size_bytes >= 1000 AND (compressed = 0 OR size_bytes * 1.0 / compressed > 4) THEN 'suspicious_compression_ratio' END], lambda x: x IS NOT NULL), '|') AS codes FROM m"""
+
+
+@query(_MEMBERS)
+def member_findings(spark, sf_dir):
+    from threadloom.schema import Limits
+    from threadloom.sources import zip_export
+
+    p, n = F.col("page_id"), F.length("html").cast("long")
+    k = p % 10
+    name = p.cast("string")
+    path = (
+        F.when(k == 0, F.concat(F.lit("../up/"), name)).when(k == 1, "Dir/a.JSON").when(k == 2, F.concat(F.lit("conversations-"), name, F.lit(".json"))).when(k == 3, "x/conversations.json")
+        .when(k == 4, F.concat(F.lit("c:/"), name)).when(k == 5, F.concat(F.lit("a\\"), name)).otherwise(F.concat(F.lit("media/"), name, F.lit(".png")))
+    )
+    rows = X.read(spark, sf_dir, "pages").select(
+        p, (p % 3).cast("string").alias("archive"), path.alias("path"), n.alias("size_bytes"), F.when(p % 7 == 0, F.lit(0)).otherwise(F.floor(n / (1 + p % 5))).cast("long").alias("compressed_size_bytes"),
+        F.when(p % 13 == 0, 1).otherwise(0).alias("flag_bits"), F.when(p % 17 == 0, 0o120777).otherwise(0o100644).alias("unix_mode"), F.lit(False).alias("is_directory"),
+    )
+    limits = Limits(max_member_uncompressed_bytes=5000, min_ratio_check_bytes=1000, max_compression_ratio=4.0)
+    return zip_export.findings(rows, limits).select("page_id", "path", "detected_kind", "codes")
+
+
+@query("""SELECT conv_id AS source_index, 'conv-' || conv_id AS conversation_id, count(*) + 1 AS nodes, count(*) + 1 AS on_path, count(*) FILTER (role = 'user') AS user_messages, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY conv_id""")
+def normalized_export(spark, sf_dir):
+    """The table as an export, decoded and normalised again: one payload of JSON, one row per conversation."""
+    from threadloom.sources import normalize
+
+    rows = X.read(spark, sf_dir, "conversations")
+    node = lambda t: F.concat(F.lit("t"), F.lpad(t.cast("string"), 6, "0"))
+    content = F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts"))
+    message = F.struct(node(F.col("turn")).alias("id"), F.struct(F.col("role")).alias("author"), content.alias("content"))
+    parent = F.when(F.col("turn") == 0, F.lit("root")).otherwise(node(F.col("turn") - 1))
+    entry = F.struct(node(F.col("turn")).alias("k"), F.struct(parent.alias("parent"), message.alias("message")).alias("v"))
+    talks = rows.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(entry)).alias("m"), node(F.max("turn")).alias("current_node"))
+    root = F.lit('"root": {"parent": null}')
+    mapping = F.concat(F.lit("{"), root, F.lit(", "), F.expr("substr(to_json(m), 2)"))
+    record = F.concat(F.lit('{"id": "conv-'), F.col("conv_id").cast("string"), F.lit('", "current_node": "'), "current_node", F.lit('", "mapping": '), mapping, F.lit("}"))
+    payload = talks.select(F.floor(F.col("conv_id") / 200).alias("part"), "conv_id", record.alias("r")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("conv_id", "r"))).alias("rs"))
+    payload = payload.select("part", F.lit("conversations.json").alias("path"), F.encode(F.concat(F.lit("["), F.array_join(F.transform("rs", lambda x: x["r"]), ","), F.lit("]")), "utf-8").alias("content"))
+    frames = normalize.normalize(payload)
+    nodes = frames["node"].groupBy("source_index").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_on_current_path").alias("on_path"))
+    texts = frames["block"].groupBy("source_index").agg(F.count_if(F.col("role") == "user").alias("user_messages"), F.sum(F.length("text")).alias("characters"))
+    return frames["conversation"].select("source_index", "conversation_id").join(nodes, "source_index").join(texts, "source_index")
