@@ -32,12 +32,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of rows that repeat its doc_id, one."""
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_tl_doc")).distinct()
-    out = _matched(docs, kept, "left_semi")
-    named = out.where("doc_id is not null")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return named.withColumn("_tl_row", first).where("_tl_row = 1").drop("_tl_row").unionByName(out.where("doc_id is null"))
+    """One document of each group stays; of rows that repeat its doc_id, one. Rows without a doc_id stay."""
+    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_tl_doc")).distinct()
+    out = docs.join(kept, docs["doc_id"] == kept["_tl_doc"], "left").where("_tl_doc is not null or doc_id is null")
+    # The join has dealt the rows by doc_id, so the window needs no further exchange.
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    first = F.row_number().over(Window.partitionBy("doc_id", "_tl_nameless").orderBy("text"))
+    return out.withColumn("_tl_nameless", nameless).withColumn("_tl_row", first).where("_tl_row = 1").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
