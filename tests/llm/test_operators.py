@@ -77,7 +77,7 @@ def test_html_layout():
     assert (items, rows) == (3, 2)
 
 
-@pytest.mark.parametrize("page", [None, "", "plain", "<", "<a", "<p", "</p></p>", "<td>x</td>", "<li>x", "<div " + "<b>" * 3000 + "deep", "<table>" * 500 + "x", "<!--", "<script>x", "<a href='x>y", "<li>" * 2000])
+@pytest.mark.parametrize("page", [None, "", "plain", "<", "<a", "<p", "</p></p>", "<td>x</td>", "<li>x", "<div " + "<b>" * 3000 + "deep", "<table>" * 500 + "x", "<!--", "<script>x", "<a href='x>y", "<li>" * 2000, "<div>" * 50_000 + "x" + "</i>" * 50_000, "<b>" * 50_000 + "</p>" * 50_000])
 def test_html_never_fails(page):
     assert isinstance(html_text.render(page)[1], str)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,13 +70,27 @@ def build(source: str) -> Node:
     """The tree of a page; missing end tags and missing rows are implied."""
     root = Node("#root", {})
     stack, at, lowered = [root], 0, None
+    # How often each tag is open: what isn't open is never looked for, so deep pages stay linear.
+    opened: Counter[str] = Counter()
 
     def text(piece: str) -> None:
         if piece:
             stack[-1].children.append(html.unescape(piece))
 
+    def push(node: Node) -> None:
+        stack[-1].children.append(node)
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(place: int) -> None:
+        for node in stack[place:]:
+            opened[node.tag] -= 1
+        del stack[place:]
+
     def close(ended: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
         """Ends the outermost open element of `ended` inside the nearest of `bounds`."""
+        if not any(opened[t] for t in ended):
+            return
         found = 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in ended:
@@ -83,7 +98,7 @@ def build(source: str) -> Node:
             elif stack[i].tag in bounds:
                 break
         if found:
-            del stack[found:]
+            cut(found)
 
     while (m := _TAG.search(source, at)) is not None:
         text(source[at : m.start()])
@@ -94,10 +109,12 @@ def build(source: str) -> Node:
                 stack[-1].children.append(Node("br", {}))
                 continue
             inline = tag not in BLOCKS
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 other = stack[i].tag
                 if other == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 # An inline end tag does not end a block, and nothing in a cell ends what stands around its table.
                 if inline and other in BLOCKS or other == "table" or other in ("td", "th") and tag not in ("tr", "tbody", "thead", "tfoot", "table"):
@@ -110,16 +127,17 @@ def build(source: str) -> Node:
         if tag in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button", "object"})
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr", {})
-            stack[-1].children.append(row)
-            stack.append(row)
-        if tag == "body" and any(x.tag == "head" for x in stack) or tag in BLOCKS and stack[-1].tag == "head":
+            push(Node("tr", {}))
+        if opened["head"] and (tag == "body" or tag in BLOCKS and stack[-1].tag == "head"):
             close({"head"}, frozenset())
         node = Node(tag, attrs)
+        if tag not in RAW and tag not in VOID:
+            push(node)
+            continue
         stack[-1].children.append(node)
         if tag in RAW:
             lowered = source.lower() if lowered is None else lowered
@@ -128,8 +146,6 @@ def build(source: str) -> Node:
             node.children.append(html.unescape(source[at:end]) if tag in ("title", "textarea") else source[at:end])
             close_at = source.find(">", end)
             at = len(source) if close_at < 0 else close_at + 1
-        elif tag not in VOID:
-            stack.append(node)
     text(source[at:])
     return root
 
