@@ -530,3 +530,42 @@ def archive_synthesis(spark, sf_dir):
     made = profiles.profiles(items)
     members = longitudinal.project_members(made).join(items.select("conversation_key", stats.date_of().alias("at")), "conversation_key").select("project", F.col("conversation_key").alias("key"), "at")
     return longitudinal.synthesis(made, members, items.select(F.col("conversation_key").alias("key"), "title"))
+
+
+# Extensions: inventories that an archive's owner asks for.
+
+
+@query("SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
+def url_hosts(spark, sf_dir):
+    return X.read(spark, sf_dir, "pages").groupBy(F.try_parse_url("url", F.lit("HOST")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY 1 ORDER BY characters DESC, conv_id LIMIT 20")
+def longest_conversations(spark, sf_dir):
+    """A report of the top twenty, which is the feature."""
+    rows = X.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("characters"))
+    return rows.orderBy(F.desc("characters"), "conv_id").limit(20)
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS emails, len(regexp_extract_all(text, 'https?://[^ \t\n]+')) AS urls, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM documents""")
+def detector_counts(spark, sf_dir):
+    count = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    return X.read(spark, sf_dir, "documents").select("doc_id", count(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("emails"), count(r"https?://[^ \t\n]+").alias("urls"), count(r"[^\x20\x09-\x0D]+").alias("words"))
+
+
+@query("""WITH c AS (SELECT DISTINCT source AS category, CASE WHEN source < 'src15' THEN NULL ELSE 'own ' || source END AS overview FROM documents), p AS (SELECT source AS category, min(lang) || ' profile' AS overview FROM documents GROUP BY 1)
+SELECT category, coalesce(c.overview, p.overview) AS overview FROM c LEFT JOIN p USING (category)""")
+def merged_category_profiles(spark, sf_dir):
+    docs = X.read(spark, sf_dir, "documents")
+    categories = docs.select(F.col("source").alias("category")).distinct().withColumn("overview", F.when(F.col("category") >= "src15", F.concat(F.lit("own "), "category")))
+    found = docs.groupBy(F.col("source").alias("category")).agg(F.concat(F.min("lang"), F.lit(" profile")).alias("overview"))
+    return book.merged_profiles(categories, found, ["overview"])
+
+
+@query("""WITH r AS (SELECT source, doc_id, n_chars % 100 AS confidence, doc_id * 7919 % 500 AS moment FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, doc_id) AS sure, row_number() OVER (PARTITION BY source ORDER BY moment, doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM r),
+o AS (SELECT *, CASE WHEN sure <= 2 THEN 0 WHEN list_contains([round_even(i * (n - 1) / 5.0, 0)::BIGINT FOR i IN range(6)], place) THEN 1 ELSE 2 END AS o FROM k)
+SELECT source, doc_id FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY o, CASE WHEN o = 2 THEN -place ELSE place END) <= 6""")
+def stratified_profiles(spark, sf_dir):
+    docs = X.read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("key"), (F.col("n_chars") % 100).alias("confidence"), (F.col("doc_id") * 7919 % 500).alias("at"))
+    return longitudinal.stratified(docs, "source", 6).select("source", F.col("key").alias("doc_id"))
