@@ -150,8 +150,11 @@ def test_media_query(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_mixing(spark, seed):
+def test_mixing(spark, seed, monkeypatch):
     rng = random.Random(seed)
+    if seed % 2:
+        monkeypatch.setattr(mixing, "BUCKET", 13)
+        monkeypatch.setattr(mixing, "CHUNK", 7)
     sources = ["a", "b", "é", None, "z", "tiny", "void"][: 3 + seed]
     rows = [(i, words(rng, rng.choice([0, 1, 5, 50, 300])) if s != "void" else "", "en", s, 0) for i in range(150) for s in [sources[0] if rng.random() < 0.5 else rng.choice(sources)]]
     got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
@@ -171,7 +174,8 @@ def test_mixing(spark, seed):
         assert abs(taken[s] - want[s]) <= 1 + 1e-6
 
 
-def test_schedule_discrepancy(spark):
+def test_schedule_discrepancy(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
     sizes = spark.createDataFrame([("a", 40_000), ("b", 30_000), ("c", 50_000)], "source string, size long")
     goals = mixing.targets(sizes)
     block, slots = mixing.block_size(goals)
