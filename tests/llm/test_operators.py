@@ -374,7 +374,9 @@ def test_posterior_bounds():
         previous = needed
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("limit", [0, 50_000])
+def test_components_of_a_long_path(spark, monkeypatch, limit):
+    monkeypatch.setattr(near_dup, "BROADCAST_EDGES", limit)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (5, 2)]
     random.Random(1).shuffle(edges)
     got = {r["node"]: r["component"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}

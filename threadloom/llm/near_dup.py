@@ -48,6 +48,8 @@ BATCH = 24
 MISS = 1e-7
 #: Members of a bucket, on either side, that one task compares at a time.
 OUTER_BLOCK, INNER_BLOCK = 256, 1024
+#: Links up to which the labels of their ends (16 bytes each) are broadcast.
+BROADCAST_EDGES = 50_000
 #: Bits of the filter that tells which texts are read again; a fuller filter only lets more of them pass.
 FILTER_BUCKETS = 1024
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -193,15 +195,23 @@ def _unpacked(data: bytes) -> str:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node that it reaches) for every end of the edges a, b."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
+    """node, component (the smallest node that it reaches) for every end of the edges a, b.
+
+    Up to BROADCAST_EDGES edges, counted first, the labels (two numbers a node) are broadcast and lie in few partitions:
+    a round is then one small shuffle. More edges take shuffle joins.
+    """
+    edges = cut(edges.select("a", "b"))
+    n = edges.count()
+    shared, gathered = (F.broadcast, lambda df: df.coalesce(2)) if n <= BROADCAST_EDGES else (lambda df: df, lambda df: df)
+    ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(gathered(ways.distinct()))
+    labels = cut(gathered(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component"))))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_near"))
-        told = labels.join(near, F.col("node") == F.col("_a")).select("node", F.least("component", "_near").alias("low"), F.col("component").alias("old"))
-        told = cut(told)
+        near = both.join(shared(labels), F.col("b") == F.col("node")).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_near"))
+        told = labels.join(shared(near), F.col("node") == F.col("_a")).select("node", F.least("component", "_near").alias("low"), F.col("component").alias("old"))
+        told = cut(gathered(told))
         roots = told.select(F.col("node").alias("_root"), F.col("low").alias("_low"))
-        jumped = cut(told.join(roots, F.col("low") == F.col("_root")).select("node", F.least("low", "_low").alias("component"), "old"))
+        jumped = cut(gathered(told.join(shared(roots), F.col("low") == F.col("_root")).select("node", F.least("low", "_low").alias("component"), "old")))
         labels = jumped.select("node", "component")
         if not jumped.where("component <> old").limit(1).count():
             return labels
