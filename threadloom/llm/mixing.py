@@ -30,7 +30,7 @@ LEAST_BLOCKS = 32
 MOST_SLOTS = 1 << 26
 #: Slots in a chunk, and documents in a bucket on average, that one task ranks.
 CHUNK = 1 << 15
-BUCKET = 2_000
+BUCKET = 20_000
 #: Sources up to which their table (under 100 bytes a row) is broadcast.
 BROADCAST_SOURCES = 20_000
 CELLS = 1024
