@@ -100,6 +100,21 @@ def test_html_keeps_all_visible_text():
         assert all(w in text for w in words_in), (out, text)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<head><title>T</title>Hello <a>x</a><p>rest", "Hello x\n\nrest"),
+        ("<head><title>T</title><font><p>one<p>two", "one\n\ntwo"),
+        ("<html><head><title>T</title><img alt=pic> <b>b</b>", "pic b"),
+        ("<head><meta charset=x>\n<noscript>no <b>no</b><p>no</noscript><style>no</style>\n<title>T</title>\n<span>yes</span>", "yes"),
+        ("<head><title>T</title></head><body><i aria-hidden=true>seen</i> <textarea>typed</textarea>", "seen typed"),
+        ("<title>T</title><select><option>a<option selected>b</select> <select multiple><optgroup><option>c<option>d</select>", "b c d"),
+    ],
+)
+def test_html_omitted_head_and_body_tags(page, want):
+    assert html_text.render(page)[:2] == ("T", want)
+
+
 def test_html_query(spark):
     rows = [(1, "u", "<p>a<p>b"), (2, None, None), (None, "v", "<i>x")]
     got = html_text.extract_html(clash(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()

@@ -28,7 +28,9 @@ _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("script style template noscript head iframe object noembed noframes datalist audio video canvas svg textarea select title".split())
+UNSEEN = frozenset("script style template noscript head iframe object noembed noframes datalist audio video canvas svg title".split())
+#: What a head may hold; any other start tag, and text, ends an open head.
+IN_HEAD = frozenset("base head html link meta noframes noscript script style template title".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A blank line stands before and after these; the other blocks begin and end a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote article section figure form fieldset header footer main nav aside hr".split())
@@ -75,7 +77,10 @@ def build(source: str) -> Node:
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].children.append(html.unescape(piece))
+            piece = html.unescape(piece)
+            if stack[-1].tag == "head" and piece.strip(" \t\n\f\r"):
+                close({"head"}, frozenset())
+            stack[-1].children.append(piece)
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
@@ -106,9 +111,11 @@ def build(source: str) -> Node:
         if m[1]:
             tag = m[1].lower()
             if tag == "br":
+                if stack[-1].tag == "head":
+                    close({"head"}, frozenset())
                 stack[-1].children.append(Node("br", {}))
                 continue
-            inline = tag not in BLOCKS
+            inline = tag not in BLOCKS and tag not in ("noscript", "object", "template")
             if not opened[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
@@ -132,7 +139,7 @@ def build(source: str) -> Node:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             push(Node("tr", {}))
-        if opened["head"] and (tag == "body" or tag in BLOCKS and stack[-1].tag == "head"):
+        if opened["head"] and (tag == "body" or tag not in IN_HEAD and stack[-1].tag == "head"):
             close({"head"}, frozenset())
         node = Node(tag, attrs)
         if tag not in RAW and tag not in VOID:
@@ -152,13 +159,28 @@ def build(source: str) -> Node:
 
 def visible(node: Node) -> bool:
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if node.tag in UNSEEN or "hidden" in a:
         return False
     if node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
     return not ("style" in a and _GONE.search(a["style"]))
 
 
+def shown_options(select: Node) -> list[Node]:
+    """What a browser shows of a select: all options of a list box, the chosen or else the first of a drop-down."""
+    found, todo = [], list(reversed(select.children))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Node) and node.tag == "option":
+            found.append(node)
+        elif isinstance(node, Node) and visible(node):
+            todo += reversed(node.children)
+    size = select.attrs.get("size", "")
+    if "multiple" in select.attrs or re.fullmatch(r"\d{1,9}", size) and int(size) > 1:
+        return found
+    return [x for x in found if "selected" in x.attrs][-1:] or found[:1]
+
+
 class Writer:
     """Gathers lines: inline text collapses its blanks, gaps of one or two newlines wait until text follows."""
 
@@ -248,6 +270,9 @@ def render(source: str | None) -> tuple[str, str, int, int, int]:
                 if alt := node.attrs.get("alt", "").strip():
                     out.inline(f" {alt} ")
                 continue
+            if tag == "select":
+                todo += [(0, x) for option in reversed(shown_options(node)) for x in (" ", option, " ")]
+                continue
             if tag in BLOCKS:
                 out.end(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             if tag in ("ul", "ol", "menu", "dir"):
