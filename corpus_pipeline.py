@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,16 +12,20 @@ from threadloom.llm import common, line_dedup, mixing, near_dup, packing
 from threadloom.llm import quality_rules as rules
 
 
-def _matched(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """Rows of `docs` by the decisions on their doc_id; a null doc_id matches a null."""
-    return docs.join(decisions, docs["doc_id"].eqNullSafe(decisions["_tl_doc"]), how)
+#: Two hashes of all columns of a row: what is decided on a row is carried back to it and to rows that equal it.
+ROW = ["_tl_row", "_tl_twin"]
+
+
+def _row(docs: DataFrame) -> dict[str, Column]:
+    """The columns ROW. A hash leaves nulls out, so it takes in which columns are null."""
+    columns = [F.col(c) for c in docs.columns]
+    return {name: F.xxhash64(F.lit(seed), *columns, *(c.isNull() for c in columns)) for seed, name in enumerate(ROW)}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. Rows that share a doc_id stay or go together: one rejected text rejects them."""
-    verdicts = rules.quality_rules(docs)
-    rejected = verdicts.where("not kept").select(F.col("doc_id").alias("_tl_doc")).distinct()
-    return _matched(docs, rejected, "left_anti")
+    """Rejected documents go, each by its own text, whether or not it has a doc_id or shares one."""
+    rejected = rules.quality_rules(docs, _row(docs)).where("not kept").select(*ROW).distinct()
+    return docs.withColumns(_row(docs)).join(rejected, ROW, "left_anti").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +47,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, a part of it rounded; those that it doesn't take go."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_tl_doc"), F.round(F.try_divide("taken", "size")).cast("int").alias("_tl_times")).where("_tl_times > 0")
-    once = taken.groupBy("_tl_doc").agg(F.max("_tl_times").alias("_tl_times"))
-    return _matched(docs, once, "inner").withColumn("_tl_copy", F.explode(F.sequence(F.lit(1), F.col("_tl_times")))).select(*docs.columns)
+    taken = mixing.mix(docs, _row(docs)).select(*ROW, F.round(F.try_divide("taken", "size")).cast("int").alias("_tl_times")).where("_tl_times > 0")
+    # Of equal rows, one stands for all: it comes as often as the mix takes them together.
+    times = taken.groupBy(*ROW).agg(F.sum("_tl_times").cast("int").alias("_tl_times"))
+    met = docs.withColumns(_row(docs)).join(times, ROW)
+    one = met.withColumn("_tl_nth", F.row_number().over(Window.partitionBy(*ROW).orderBy(*ROW))).where("_tl_nth = 1")
+    return one.withColumn("_tl_copy", F.explode(F.sequence(F.lit(1), F.col("_tl_times")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

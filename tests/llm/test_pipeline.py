@@ -54,6 +54,25 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert whole[0] == 0 and {c for n, c in corpus_pipeline.STAGES} and len(set(whole)) == len(whole)
 
 
+def test_rows_without_or_with_a_shared_doc_id(spark):
+    rng = random.Random(4)
+    # As many words as no other row has, so that the mix's order of rows without an id is fixed.
+    text = lambda i: " ".join(f"word{rng.randrange(300)}" for _ in range(60 + i))
+    clean = [(None if i % 2 else i, text(i), "en", f"s{i % 4 if i % 3 else 0}", 7) for i in range(40)]
+    clean += [clean[1], (50, text(50), "en", "s1", 7), (50, text(51), "en", "s1", None)]
+    bad = [(None, "too short", "en", "s1", 9), (50, "&&& " * 90, "en", "s1", 7), (None, None, None, None, None)]
+    docs = spark.createDataFrame(clean + bad, DOCS).repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.quality_rules(spark, docs, "").collect()]
+    assert Counter(got) == Counter(clean)
+    docs = spark.createDataFrame(clean, DOCS)
+    taken = mixing.mix(docs, {"all": F.struct(*docs.columns)}).collect()
+    want = Counter()
+    for r in taken:
+        want[tuple(r["all"])] += int(np.floor(r["taken"] / r["size"] + 0.5))
+    assert Counter(tuple(r) for r in corpus_pipeline.source_mixing(spark, docs, "").collect()) == +want
+    assert len({n for r, n in want.items() if r[0] is None}) > 1
+
+
 def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

@@ -55,10 +55,13 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the statistics of every whole text, with base_failed and the vector x0, x1, ..."""
-    columns = docs.selectExpr("cast(doc_id as long) doc_id", "cast(lang as string) lang", "cast(source as string) source", "cast(text as string) text")
-    stats = columns.mapInArrow(textstats.with_stats(["doc_id", "lang", "source"]), f"doc_id long, lang string, source string, {textstats.SCHEMA}")
+def base_statistics(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, the columns `carry` computes, lang, source and the statistics of every whole text, with base_failed and the vector x0, x1, ..."""
+    carry = carry or {}
+    columns = docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("lang", "string"), ("source", "string"), ("text", "string"))), *(c.alias(n) for n, c in carry.items()))
+    keep = ["doc_id", *carry, "lang", "source"]
+    schema = ", ".join(f"`{c}` {columns.schema[c].dataType.simpleString()}" for c in keep)
+    stats = columns.mapInArrow(textstats.with_stats(keep), f"{schema}, {textstats.SCHEMA}")
     words = F.greatest(F.col("n_words"), F.lit(1))
     vector = [
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
@@ -70,7 +73,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     ]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return stats.select("doc_id", "lang", "source", *base, failed.alias("base_failed"), *(v.cast("double").alias(x) for x, v in zip(X, vector)))
+    return stats.select(*keep, *base, failed.alias("base_failed"), *(v.cast("double").alias(x) for x, v in zip(X, vector)))
 
 
 def _joined(vectors: DataFrame, models: DataFrame, columns: list[str]) -> DataFrame:
@@ -153,11 +156,11 @@ def robust_models(statistics: DataFrame) -> DataFrame:
     return models
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per document: base statistics, base_failed, distance2 (null where the base rules failed) and kept."""
-    statistics = cut(base_statistics(docs))
+def quality_rules(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row per document: the columns `carry` computes from it, base statistics, base_failed, distance2 (null where the base rules failed) and kept."""
+    statistics = cut(base_statistics(docs, carry))
     judged = _joined(statistics, robust_models(statistics), MODEL)
     distance = F.when(~F.col("base_failed"), _distance())
     limit = chi2_quantile(SURE, DIMENSIONS)
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select("doc_id", *base, "base_failed", distance.alias("distance2")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= limit))
+    return judged.select("doc_id", *(carry or {}), *base, "base_failed", distance.alias("distance2")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= limit))
