@@ -87,6 +87,37 @@ def test_neighbours_across_blocks(spark, monkeypatch):
     assert {(r["node"], r["other"]): round(r["similarity"], 9) for r in simgraph.neighbours(frame, 0.1, 4).collect()} == whole
 
 
+def brute_candidates(rows, dimensions, limit, retained):
+    """Node by node, as the reference describes it."""
+    n, d = len(rows), len(rows[0][1])
+    coarse = sorted({min(d - 1, k * d // 48) for k in range(min(48, d))})
+    signs = [{(i, v[i] >= 0) for i in sorted(range(d), key=lambda i: (-abs(v[i]), i))[:dimensions]} for _, v in rows]
+    pairs = set()
+    for i, (_, v) in enumerate(rows):
+        found = {j for j in range(n) if j != i and signs[i] & signs[j]}
+        offset = 1
+        while len(found) < min(limit, n - 1):
+            found |= {(i + offset * 104_729) % n} - {i}
+            offset += 1
+        best = sorted(found, key=lambda j: (-sum(v[k] * rows[j][1][k] for k in coarse), rows[j][0]))[:retained]
+        pairs |= {tuple(sorted((rows[i][0], rows[j][0]))) for j in best}
+    return pairs
+
+
+@pytest.mark.parametrize("dimensions", [1, 4])
+def test_bucket_candidates_against_brute_force(spark, monkeypatch, dimensions):
+    values = np.random.default_rng(6).integers(-50, 50, size=(90, 60)).astype(float)
+    # A vector whose one large dimension no other has.
+    values[:, 59], values[7, 59] = 0, 1000
+    rows = [(f"k{i:02d}", v.tolist()) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "key string, vector array<double>").repartition(3)
+    monkeypatch.setattr(simgraph, "BLOCK", 40)
+    got = [tuple(r) for r in simgraph.bucket_candidates(frame, dimensions, 4, 16).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_candidates(rows, dimensions, 32, 16)
+    assert any("k07" in pair for pair in got)
+    assert simgraph.bucket_candidates(frame, dimensions, 4, 90).count() == 90 * 89 // 2
+
+
 def test_hash_embedding(spark):
     frame = spark.createDataFrame([("a", "Alpha tool", "alpha beta beta"), ("b", "", ""), ("c", "Alpha tool", "alpha beta beta")], "k string, title string, text string")
     got = {r["key"]: np.array(r["vector"]) for r in vectors.hash_embeddings(frame, "k", F.col("title"), F.col("text"), 64).collect()}

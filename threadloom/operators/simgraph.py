@@ -17,6 +17,8 @@ from threadloom.plans.session import settled
 
 #: Vectors on either side of one task's matrix product.
 BLOCK = 2048
+#: Positions between the vectors that fill up a node's candidates.
+STRIDE = 104_729
 
 
 def cosine(a, b):
@@ -79,20 +81,74 @@ def neighbours(vectors: DataFrame, min_similarity: float, k: int | None) -> Data
     return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def bucket_candidates(vectors: DataFrame, dimensions: int = 4, per_node: int = 48) -> DataFrame:
+def bucket_candidates(vectors: DataFrame, dimensions: int = 12, max_neighbors: int = 10, brute_force: int = 256) -> DataFrame:
     """a, b: candidate pairs that share a large dimension and its sign, the best per node by coarse similarity.
 
-    The approximate alternative to neighbours(): an equi-join on (dimension, sign).
+    The approximate alternative to neighbours(), with the reference's limits: a node with fewer than 8 * max_neighbors
+    (at least 32) mates gets others at strides of STRIDE positions in the order of keys, and the best 4 * max_neighbors
+    (at least 16) stay. Up to `brute_force` vectors, all pairs. Blocks as in neighbours().
     """
-    signed = F.transform(top_dimensions(F.col("vector"), dimensions), lambda i: F.struct(i.alias("dim"), (F.element_at("vector", i + 1) >= 0).alias("sign")))
-    rows = vectors.select("key", F.transform(F.filter(F.col("vector"), lambda v, i: i % F.lit(2) == 0), lambda v: v).alias("coarse"), F.explode(signed).alias("bucket"))
-    left = rows.select(F.col("key").alias("a"), F.col("coarse").alias("ca"), "bucket")
-    right = rows.select(F.col("key").alias("b"), F.col("coarse").alias("cb"), "bucket")
-    met = left.join(right, "bucket").where("a <> b").select("a", "b", "ca", "cb").distinct()
-    score = F.aggregate(F.zip_with("ca", "cb", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    best = met.withColumn("score", score).withColumn("_r", rank).where(F.col("_r") <= per_node)
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = vectors.select("key")
+    n = vectors.count()
+    if n <= brute_force:
+        return keys.select(F.col("key").alias("a")).join(keys.select(F.col("key").alias("b")), F.col("a") < F.col("b"))
+    wanted, retained = min(max(8 * max_neighbors, 32), n - 1), max(4 * max_neighbors, 16)
+    # A stride that shares a factor with n would come round too early; the reference doesn't end there.
+    stride = next(s for s in range(STRIDE, STRIDE + n) if math.gcd(s, n) == 1)
+    # Fewer than `wanted` of these are mates, so enough are left.
+    offsets = np.arange(1, min(n - 1, 2 * wanted) + 1, dtype=np.int64)
+    blocks = -(-n // BLOCK)
+    # The order is global by definition; keys only are ranked.
+    placed = vectors.join(keys.withColumn("place", (F.row_number().over(Window.orderBy("key")) - 1).cast("long")), "key")
+    dealt = placed.select("key", "place", F.col("vector").cast("array<double>").alias("vector"), (F.col("place") % blocks).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("key", "place", "vector", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        """For a node: its best mates in a block, with their number there, and those at its strides, with the step."""
+        keys = np.array(table.column("key").to_pylist(), dtype=object)
+        matrix = np.array(table.column("vector").to_pylist(), dtype=np.float64)
+        own, place = table.column("own").to_numpy(), table.column("place").to_numpy()
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        d = matrix.shape[1]
+        coarse = matrix[:, sorted({min(d - 1, k * d // 48) for k in range(min(48, d))})]
+        top = np.argsort(-np.abs(matrix), axis=1, kind="stable")[:, :dimensions]
+        signs = np.zeros((len(matrix), 2 * d), dtype=np.float32)
+        rows = np.arange(len(matrix))[:, None]
+        signs[rows, 2 * top + (matrix[rows, top] >= 0)] = 1
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        out: list[tuple] = []
+        for a, b in ((left, right),) if x == y else ((left, right), (right, left)):
+            if not len(a) or not len(b):
+                continue
+            at = {int(p): k for k, p in enumerate(place[b])}
+            scores, shared = coarse[a] @ coarse[b].T, signs[a] @ signs[b].T > 0
+            for i, score, mate in zip(a, scores, shared):
+                mates = np.flatnonzero(mate & (b != i))
+                near = mates
+                if len(mates) > retained:
+                    near = mates[score[mates] >= np.partition(score[mates], -retained)[-retained]]
+                best = sorted(near, key=lambda k: (-score[k], keys[b[k]]))[:retained]
+                out += [(keys[i], keys[b[k]], float(score[k]), len(mates) if r == 0 else 0, 0) for r, k in enumerate(best)]
+                if len(mates) >= wanted:
+                    continue
+                for step, p in zip(offsets.tolist(), ((place[i] + offsets * stride) % n).tolist()):
+                    k = at.get(p)
+                    if k is not None and b[k] != i and not mate[k]:
+                        out.append((keys[i], keys[b[k]], float(score[k]), 0, step))
+        types = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+        columns = list(zip(*out)) or [()] * len(types)
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("node", "other", "score", "mates", "step"), columns, types)})
+
+    met = dealt.groupBy("x", "y").applyInArrow(meet, "node string, other string, score double, mates long, step long")
+    node = Window.partitionBy("node")
+    # Mates have step 0. Of the others, as many as are missing, by step.
+    lacking = F.lit(wanted) - F.sum("mates").over(node)
+    nth = F.row_number().over(Window.partitionBy("node", F.col("step") > 0).orderBy("step"))
+    filled = met.withColumn("lacking", lacking).withColumn("nth", nth).where("step = 0 or nth <= lacking")
+    rank = F.row_number().over(node.orderBy(F.desc("score"), "other"))
+    best = filled.withColumn("_r", rank).where(F.col("_r") <= retained)
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def similarity_graph(vectors: DataFrame, min_similarity: float = 0.32, k: int = 10) -> DataFrame:
