@@ -148,3 +148,65 @@ def robust_distances(vectors, groups, floors, covered, steps, shrink, correction
             centre[g] = share * vectors[near[g]].mean(axis=0) + (1 - share) * vectors[wide].mean(axis=0)
             precision[g] = np.linalg.inv(cov)
     return distances()
+
+
+def quality_inputs(text):
+    """The statistics of one text, counted plainly."""
+    text = text or ""
+    words, lines = WORDS.findall(text), text.split("\n")
+    n, count = max(len(words), 1), lambda chars: sum(c in chars for c in text)
+    upper = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    _, word_chars, symbols, dup_lines, repeats, _ = base_statistics(text)
+    distinct, wide = len(set(words)), sum(ord(c) > 127 for c in text)
+    shares = [symbols, upper, count("!\"'(),-./:;?[]`{}"), text.count("|"), count("0123456789"), wide]
+    return [np.log1p(len(words)), np.log(max(word_chars, 1) / n), *(np.sqrt(x / n) for x in shares), np.sqrt(dup_lines / len(lines)), np.sqrt(repeats / n), np.log(max(distinct, 1) + 1) / np.log(n + 1), np.log(n / len(lines))]
+
+
+def isotonic(y, weight):
+    """Isotonic regression by the largest-of-smallest-means formula."""
+    total, mass = np.r_[0, np.cumsum(y * weight)], np.r_[0, np.cumsum(weight)]
+    n, best, out = len(y), -np.inf, []
+    means = [[(total[b + 1] - total[a]) / (mass[b + 1] - mass[a]) if b >= a else np.inf for b in range(n)] for a in range(n)]
+    for i in range(n):
+        best = max(min(means[a][i:]) for a in range(i + 1))
+        out.append(best)
+    return np.array(out)
+
+
+def quality_scores(rows, known, fold, model):
+    """[(doc_id, text)], {doc_id: quality}, {doc_id: fold} and the module's parameters to {doc_id: score}."""
+    import zlib
+
+    z = np.array([quality_inputs(t) for _, t in rows])
+    learn = [i for i, (d, _) in enumerate(rows) if d in known and zlib.crc32(str(d).encode()) % 3 != 1]
+    y, f = np.array([float(known[rows[i][0]]) for i in learn]), np.array([fold[rows[i][0]] for i in learn])
+    mean, scale = z[learn].mean(axis=0), np.maximum(z[learn].std(axis=0), 1e-3)
+    z = (z - mean) / scale
+
+    def solved(x, y, penalty):
+        return np.linalg.solve(x.T @ x + penalty * len(x) * np.eye(x.shape[1]), x.T @ y)
+
+    def features(bandwidth, reach, n):
+        rng = np.random.default_rng(model.SEED)
+        w, b = rng.normal(0, 1 / bandwidth, (z.shape[1], n)), rng.uniform(0, 2 * np.pi, n)
+        return np.hstack([np.sqrt(2 / n) * np.cos(np.clip(z, -reach, reach) @ w + b), np.ones((len(z), 1))])
+
+    def unseen(x, penalty):
+        raw = np.zeros(len(y))
+        for k in set(f):
+            raw[f == k] = x[f == k] @ solved(x[f != k], y[f != k], penalty)
+        return raw
+
+    tried = []
+    for bandwidth in model.BANDWIDTHS:
+        for reach in model.REACHES:
+            x = features(bandwidth, reach, model.SEARCH_FEATURES)[learn]
+            tried += [(((unseen(x, p) - y) ** 2).sum(), bandwidth, reach, p) for p in model.RIDGES]
+    _, bandwidth, reach, penalty = min(tried)
+    x = features(bandwidth, reach, model.FEATURES)
+    bins = np.rint(np.clip(unseen(x[learn], penalty), -1, 2) * model.BINS).astype(int)
+    places = np.unique(bins)
+    fitted = isotonic(np.array([y[bins == b].mean() for b in places]), np.array([(bins == b).sum() for b in places], dtype=float))
+    first = np.r_[True, np.diff(fitted) > 1e-12]
+    score = np.clip(np.interp(x @ solved(x[learn], y, penalty), places[first] / model.BINS, fitted[first]), 0, 1)
+    return {d: float(s) for (d, _), s in zip(rows, score)}

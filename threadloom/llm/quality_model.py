@@ -1,14 +1,19 @@
 """Quality classifier: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
 The features approximate a Gaussian kernel over standardised statistics. Each partition of the training rows adds up
-its part of the normal equations; the driver adds PARTS of them and solves. A second share of the labelled rows, which
-the regression hasn't seen, calibrates its scores by pooling adjacent violators over bins of 1/1000.
-
-Bounds, all parameters: TRAINING_ROWS labelled rows at most (chosen by hash), PARTS matrices of FEATURES + 1 squared.
-
-Defined results. A null text counts as empty and gets a score. A document labelled twice counts with each of its labels.
-Without usable labels every score is 0.5; with labels of one class only, that class's value. An empty table gives an
-empty result. Labels, lang, source and doc_id are never inputs of a score.
+its part of the normal equations, fold by fold. From these sums alone follow the weights of every fold's complement and
+their squared loss on the fold, so one pass over the training rows settles bandwidth, reach and ridge by
+cross-validation: nothing about the score is chosen by hand or from held-out rows. The scores that the rows of a fold
+get from the other folds' weights calibrate the final ones by pooling adjacent violators over bins of 1/1000.
+
+Bounds, all parameters: TRAINING_ROWS labelled rows at most (chosen by hash), and PARTS partial sums a fold, of
+SEARCH_FEATURES + 1 (search, added up in the cluster) or FEATURES + 1 (final, added up on the driver) squared.
+
+Defined results. A null text counts as empty and gets a score. Very long texts are counted whole, in time linear in
+their length. A document labelled twice counts with each of its labels, and rows that share a doc_id all take its
+labels; equal texts get equal scores. A row without a doc_id is scored, never learned from, and not held out. Without
+usable labels every score is 0.5; with labels of one class only, that class's value. Other columns, whatever their
+names, are ignored. An empty table gives an empty result. Labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -24,10 +29,14 @@ from threadloom.llm import textstats
 from threadloom.llm.common import cut
 
 FEATURES = 256
-BANDWIDTH = 4.0
-#: Standardised statistics beyond this are cut: a Gaussian kernel says nothing about rows far from all others.
-REACH = 3.0
-RIDGE = 1e-3
+SEARCH_FEATURES = 96
+FOLDS = 3
+#: What cross-validation chooses from: the kernel's bandwidth in standard deviations, the reach at which standardised
+#: statistics are cut (a Gaussian kernel says nothing about rows far from all others), and the ridge per training row.
+BANDWIDTHS = (1.0, 2.0, 4.0, 8.0)
+REACHES = (2.0, 4.0, 8.0)
+RIDGES = (1e-6, 1e-5, 1e-4, 1e-3)
+GRID = [(bandwidth, reach) for bandwidth in BANDWIDTHS for reach in REACHES]
 SEED = 20240229
 TRAINING_ROWS = 200_000
 PARTS = 8
@@ -58,20 +67,69 @@ def inputs() -> list[Column]:
 Z = [f"z{i}" for i in range(INPUTS)]
 
 
-def _projection() -> tuple[np.ndarray, np.ndarray]:
+def fourier(z: np.ndarray, bandwidth: float, features: int = FEATURES) -> np.ndarray:
+    """Rows of standardised statistics to cosines, as many as `features`, and a constant."""
     rng = np.random.default_rng(SEED)
-    return rng.normal(0, 1 / BANDWIDTH, (INPUTS, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
+    w, b = rng.normal(0, 1 / bandwidth, (INPUTS, features)), rng.uniform(0, 2 * np.pi, features)
+    return np.hstack([np.sqrt(2 / features) * np.cos(z @ w + b), np.ones((len(z), 1))])
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _standardised(batch: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return (np.column_stack([_column(batch, c) for c in Z]) - mean) / scale
+
+
+def _equations(kernels: list[tuple[float, float]], features: int, mean: np.ndarray, scale: np.ndarray):
+    """For mapInArrow: a partition's sums of x'x and x'y, for each kernel and fold."""
+    size = features + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(kernels), FOLDS, size, size + 1))
+        for batch in batches:
+            z, y, fold = _standardised(batch, mean, scale), _column(batch, "label"), _column(batch, "fold")
+            for k, (bandwidth, reach) in enumerate(kernels):
+                x = fourier(np.clip(z, -reach, reach), bandwidth, features)
+                for f in range(FOLDS):
+                    own = x[fold == f]
+                    total[k, f] += own.T @ np.column_stack([own, y[fold == f]])
+        places = [(k, f) for k in range(len(kernels)) for f in range(FOLDS)]
+        arrays = [pa.array([k for k, _ in places], pa.int32()), pa.array([f for _, f in places], pa.int32()), pa.array([total[k, f].tobytes() for k, f in places], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["kernel", "fold", "sums"])
+
+    return run
+
+
+_EQUATIONS = "kernel int, fold int, sums binary"
+
 
+def ridge(sums: np.ndarray, penalty: float) -> np.ndarray:
+    """Weights from x'x and x'y; the corner of x'x counts the rows, whose number the penalty multiplies."""
+    size = len(sums)
+    return np.linalg.solve(sums[:, :size] + penalty * max(sums[size - 1, size - 1], 1.0) * np.eye(size), sums[:, size])
 
-def fourier(z: np.ndarray) -> np.ndarray:
-    """Rows of standardised statistics to FEATURES cosines and a constant."""
-    w, b = _projection()
-    return np.hstack([np.sqrt(2 / FEATURES) * np.cos(z @ w + b), np.ones((len(z), 1))])
 
+def losses(folds: np.ndarray) -> list[float]:
+    """For each of RIDGES: the squared error of all rows under the weights of the other folds."""
+    out, total = [], folds.sum(axis=0)
+    for penalty in RIDGES:
+        error = 0.0
+        for own in folds:
+            w = ridge(total - own, penalty)
+            # Labels are 0 or 1: the sum of their squares is their sum, where x'y meets the constant.
+            error += own[-1, -1] - 2 * w @ own[:, -1] + w @ own[:, :-1] @ w
+        out.append(float(error))
+    return out
 
-def _matrix(batch: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in Z])
-    return fourier(np.clip((z - mean) / scale, -REACH, REACH))
+
+def _evaluate(table: pa.Table) -> pa.Table:
+    size = SEARCH_FEATURES + 1
+    folds = np.zeros((FOLDS, size, size + 1))
+    for fold, sums in zip(table.column("fold").to_pylist(), table.column("sums").to_pylist()):
+        folds[fold] += np.frombuffer(sums).reshape(size, size + 1)
+    return pa.table({"kernel": pa.array([table.column("kernel")[0].as_py()] * len(RIDGES), pa.int32()), "ridge": pa.array(range(len(RIDGES)), pa.int32()), "loss": pa.array(losses(folds), pa.float64())})
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,55 +145,56 @@ def pool_adjacent(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.
 
 
 class QualityModel:
-    """Standardisation, ridge weights and calibration; a few kB, shipped with the tasks."""
+    """Standardisation, kernel, ridge weights and calibration; a few kB, shipped with the tasks."""
 
-    def __init__(self, mean, scale, weights, knots, values):
-        self.mean, self.scale, self.weights, self.knots, self.values = mean, scale, weights, knots, values
+    def __init__(self, mean=None, scale=None, kernel=None, weights=None, knots=None, values=None):
+        self.mean, self.scale, self.kernel, self.weights, self.knots, self.values = mean, scale, kernel, weights, knots, values
 
-    def raw(self, batch: pa.RecordBatch) -> np.ndarray:
-        return _matrix(batch, self.mean, self.scale) @ self.weights
+    def features(self, batch: pa.RecordBatch) -> np.ndarray:
+        bandwidth, reach = self.kernel
+        return fourier(np.clip(_standardised(batch, self.mean, self.scale), -reach, reach), bandwidth)
 
     def score(self, batch: pa.RecordBatch) -> np.ndarray:
         if self.weights is None:
             return np.full(batch.num_rows, self.values[0])
-        return np.clip(np.interp(self.raw(batch), self.knots, self.values), 0.0, 1.0)
+        return np.clip(np.interp(self.features(batch) @ self.weights, self.knots, self.values), 0.0, 1.0)
+
+
+def choose(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tuple[tuple[float, float], float]:
+    """(bandwidth, reach) and ridge of the smallest cross-validated loss; of equal ones, the first in the grid."""
+    sums = rows.coalesce(PARTS).mapInArrow(_equations(GRID, SEARCH_FEATURES, mean, scale), _EQUATIONS)
+    tried = sums.groupBy("kernel").applyInArrow(_evaluate, "kernel int, ridge int, loss double").collect()
+    best = min(tried, key=lambda r: (r["loss"], r["kernel"], r["ridge"]))
+    return GRID[best["kernel"]], RIDGES[best["ridge"]]
 
 
 def fit(rows: DataFrame) -> QualityModel:
-    """From rows of z0, z1, ..., label (0.0 or 1.0) and part (0: regression, otherwise calibration)."""
-    summary = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean"), F.sum((F.col("part") == 0).cast("int")).alias("n0"), *(F.avg(z).alias(f"a_{z}") for z in Z), *(F.stddev_pop(z).alias(f"s_{z}") for z in Z)).first()
-    n = summary["n"]
-    if not n or summary["mean"] in (0.0, 1.0):
-        return QualityModel(None, None, None, None, [summary["mean"] if n else 0.5])
+    """From rows of z0, z1, ..., label (0.0 or 1.0) and fold (0 to FOLDS - 1)."""
+    summary = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean"), *(F.avg(z).alias(f"a_{z}") for z in Z), *(F.stddev_pop(z).alias(f"s_{z}") for z in Z)).first()
+    if not summary["n"] or summary["mean"] in (0.0, 1.0):
+        return QualityModel(values=[summary["mean"] if summary["n"] else 0.5])
     mean = np.array([summary[f"a_{z}"] for z in Z])
     scale = np.maximum(np.array([summary[f"s_{z}"] for z in Z]), 1e-3)
-    apart = 0 < summary["n0"] < n
+    kernel, penalty = choose(rows, mean, scale)
     size = FEATURES + 1
-
-    def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
-        for batch in batches:
-            x = _matrix(batch, mean, scale)
-            y = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
-            total += x.T @ np.column_stack([x, y])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    learn = rows.where("part = 0") if apart else rows
-    parts = learn.coalesce(PARTS).mapInArrow(equations, "sums binary").collect()
-    total = sum(np.frombuffer(r["sums"]).reshape(size, size + 1) for r in parts)
-    weights = np.linalg.solve(total[:, :size] + RIDGE * n * np.eye(size) / 100, total[:, size])
-    model = QualityModel(mean, scale, weights, None, None)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    folds = np.zeros((FOLDS, size, size + 1))
+    for r in rows.coalesce(PARTS).mapInArrow(_equations([kernel], FEATURES, mean, scale), _EQUATIONS).collect():
+        folds[r["fold"]] += np.frombuffer(r["sums"]).reshape(size, size + 1)
+    total = folds.sum(axis=0)
+    others = np.stack([ridge(total - own, penalty) for own in folds])
+    model = QualityModel(mean, scale, kernel, ridge(total, penalty))
+
+    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's score under the weights that its fold had no part in."""
         for batch in batches:
-            bins = np.rint(np.clip(model.raw(batch), -1, 2) * BINS).astype(np.int64)
+            raw = (model.features(batch) * others[_column(batch, "fold")]).sum(axis=1)
+            bins = np.rint(np.clip(raw, -1, 2) * BINS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(batch.schema.get_field_index("label"))], ["bin", "label"])
 
-    rest = rows.where("part <> 0") if apart else rows
-    bins = rest.mapInArrow(scored, "bin long, label double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("y")).orderBy("bin").collect()
+    bins = rows.mapInArrow(unseen, "bin long, label double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("y")).orderBy("bin").collect()
     x, y, w = (np.array([r[k] for r in bins], dtype=float) for k in ("bin", "y", "n"))
-    knots, values = pool_adjacent(x / BINS, y, w)
-    return QualityModel(mean, scale, weights, knots, values)
+    model.knots, model.values = pool_adjacent(x / BINS, y, w)
+    return model
 
 
 def _remainder(doc_id: Column) -> Column:
@@ -152,7 +211,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = known.count()
     if n > TRAINING_ROWS:
         known = known.where(F.pmod(F.xxhash64("_id"), F.lit(n)) < TRAINING_ROWS)
-    rows = cut(stats.join(known, F.col("doc_id") == F.col("_id")).select(*Z, "label", _remainder(F.col("_id")).alias("part")))
+    fold = F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(FOLDS)).cast("int")
+    rows = cut(stats.join(known, F.col("doc_id") == F.col("_id")).select(*Z, "label", fold.alias("fold")))
     model = fit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
