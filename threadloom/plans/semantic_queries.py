@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.functions import text as T
 from threadloom.functions import vectors as H
@@ -318,12 +319,13 @@ def dormant_projects(spark, sf_dir):
     return longitudinal.dormant(X.projects(spark, sf_dir), "40 hours")
 
 
-_PAIRS = "WITH s AS (SELECT user_id, list(event_type ORDER BY ts)[1:3] AS p FROM events GROUP BY 1), q AS (SELECT user_id, unnest([{'l': p[i], 'r': p[i + 1]} FOR i IN range(1, len(p))]) AS x FROM s) "
+_PAIRS = "WITH q AS (SELECT user_id, {'l': event_type, 'r': lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type)} AS x FROM events) "
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = X.read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_type"))).alias("es"))
-    return events.select(F.col("user_id").alias("position"), F.slice(F.transform("es", lambda e: e["event_type"]), 1, 3).alias("projects"))
+    """Each event with the one after it: whole sequences, however long, without an array of them."""
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_type"))
+    return X.read(spark, sf_dir, "events").select(F.col("user_id").alias("position"), F.array("event_type", after).alias("projects"))
 
 
 @query(_PAIRS + "SELECT x.l AS left, x.r AS right, min(user_id) AS first FROM q WHERE x.l <> x.r GROUP BY ALL")
@@ -353,8 +355,6 @@ d AS (SELECT category, key, CASE WHEN central <= 8 THEN central END AS central,
 o AS (SELECT category, key, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN central = 1 THEN 0 WHEN early = 1 THEN 1 WHEN early = n THEN 2 WHEN central IS NOT NULL THEN 2 + central ELSE 1000 + early END) AS rank FROM d)
 SELECT category, rank, key FROM o WHERE rank <= 3 ORDER BY rank, category LIMIT 40""")
 def refinement_selection(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     docs = X.read(spark, sf_dir, "documents")
     long = F.col("n_chars") > 1500
     place = F.row_number().over(Window.partitionBy("source", long).orderBy(F.desc("n_chars"), "doc_id"))
@@ -364,8 +364,6 @@ def refinement_selection(spark, sf_dir):
 
 @query("SELECT source, rank, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 12 ORDER BY rank, source LIMIT 90")
 def feature_budget_round_robin(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
     rows = X.read(spark, sf_dir, "documents").withColumn("rank", rank).where("rank <= 12")
     return longitudinal.round_robin(rows, "source", "rank", 90).select("source", "rank", "doc_id")
@@ -392,14 +390,14 @@ def anonymous_aliases(spark, sf_dir):
     return figures.aliases(X.read(spark, sf_dir, "documents").select("source").distinct(), "source")
 
 
-_TRUTH = """WITH t AS (SELECT 'lang-' || lang AS truth, doc_id FROM documents), i AS (SELECT 'source-' || source AS inferred, doc_id FROM documents WHERE doc_id % 3 > 0),
+_TRUTH = """WITH t AS (SELECT 'lang-' || lang AS truth, doc_id FROM documents), i AS (SELECT 'source-' || source AS inferred, doc_id FROM documents),
 nt AS (SELECT truth, count(*) AS a FROM t GROUP BY 1), ni AS (SELECT inferred, count(*) AS b FROM i GROUP BY 1),
 o AS (SELECT truth, inferred, n::DOUBLE / (a + b - n) AS overlap FROM (SELECT truth, inferred, count(*) AS n FROM t JOIN i USING (doc_id) GROUP BY ALL) JOIN nt USING (truth) JOIN ni USING (inferred)) """
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.read(spark, sf_dir, "documents")
-    return evaluate.jaccard(docs.select(F.concat(F.lit("lang-"), "lang").alias("name"), F.col("doc_id").alias("member")), docs.where("doc_id % 3 > 0").select(F.concat(F.lit("source-"), "source").alias("name"), F.col("doc_id").alias("member")))
+    return evaluate.jaccard(docs.select(F.concat(F.lit("lang-"), "lang").alias("name"), F.col("doc_id").alias("member")), docs.select(F.concat(F.lit("source-"), "source").alias("name"), F.col("doc_id").alias("member")))
 
 
 @query(_TRUTH + "SELECT truth, inferred, round(overlap, 6) AS overlap FROM o")
@@ -442,15 +440,15 @@ def cost_plan(spark, sf_dir):
     return cost.plan(estimate, Decimal("0.02"), Decimal("0.25"), Decimal("2.0"))
 
 
-@query("""WITH l AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'reserved' ELSE 'failed' END AS state, round(o_totalprice, 2)::DECIMAL(18, 2) AS reserved, round(o_totalprice, 2)::DECIMAL(18, 2) - 1 AS settled FROM orders WHERE o_orderkey % 100 = 0),
-s AS (SELECT sum(CASE WHEN state = 'reserved' THEN reserved ELSE settled END)::DOUBLE AS charged, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'reserved') AS unsettled FROM l)
-SELECT round(charged, 6) AS charged, completed, unsettled, round(greatest(0, 100000000 - charged), 6) AS remaining FROM s""")
+@query("""WITH l AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'reserved' ELSE 'failed' END AS state, round(o_totalprice, 2)::DECIMAL(18, 2) AS reserved, round(o_totalprice, 2)::DECIMAL(18, 2) - 1 AS settled FROM orders),
+s AS (SELECT sum(CASE WHEN state = 'reserved' THEN reserved ELSE settled END)::DECIMAL(38, 2) AS charged, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'reserved') AS unsettled FROM l)
+SELECT round(charged::DOUBLE, 6) AS charged, completed, unsettled, round(greatest(0, 1000000000000 - charged)::DOUBLE, 6) AS remaining FROM s""")
 def ledger_snapshot(spark, sf_dir):
-    orders = X.read(spark, sf_dir, "orders").where("o_orderkey % 100 = 0")
+    orders = X.read(spark, sf_dir, "orders")
     k = F.col("o_orderkey") % 3
     money = lambda c: F.round(c, 2).cast("decimal(18,2)").cast(cost.MONEY)
     entries = orders.select(F.when(k == 0, "completed").when(k == 1, "reserved").otherwise("failed").alias("state"), money(F.col("o_totalprice")).alias("reserved"), (money(F.col("o_totalprice")) - 1).cast(cost.MONEY).alias("settled"))
-    return cost.ledger_snapshot(entries, Decimal(100_000_000))
+    return cost.ledger_snapshot(entries, Decimal(10**12))
 
 
 @query()
