@@ -85,6 +85,19 @@ def targets(sizes, weights=(1, 2, 3), epochs=3):
         fixed.update({s: float(epochs * sizes[s]) for s in over})
 
 
+def mix(docs, shuffled):
+    """[(doc_id, source, words)] and each document's key in the shuffle to {source: (size, target)} and {doc_id: words taken}."""
+    sizes, order, taken = Counter(), defaultdict(list), Counter()
+    for doc_id, source, n in sorted(docs, key=lambda d: (*shuffled[d[0]], d[0])):
+        sizes[source] += n
+        order[source] += [doc_id] * n
+    goals = targets(dict(sizes))
+    for source, stream in order.items():
+        for k in range(int(goals[source] + 1e-9)):
+            taken[stream[k % len(stream)]] += 1
+    return {s: (sizes[s], goals[s]) for s in sizes}, taken
+
+
 FIXED = {
     "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
     "access": (r"AKIA[A-Z0-9]+", re.A),

@@ -164,44 +164,62 @@ def test_media_query(spark):
     assert {r["error"] for r in media.media_features(bmp, "doc_id").collect()} == {None}
 
 
+@pytest.mark.parametrize("block", [1, 7, 1024])
 @pytest.mark.parametrize("seed", range(4))
-def test_mixing(spark, seed, monkeypatch):
+def test_mixing(spark, seed, block, monkeypatch):
+    """Every document's words against a mix that lays all words of the streams out one by one."""
     rng = random.Random(seed)
+    monkeypatch.setattr(mixing, "BLOCK", block)
     if seed % 2:
         monkeypatch.setattr(mixing, "BUCKET", 13)
         monkeypatch.setattr(mixing, "CHUNK", 7)
+        monkeypatch.setattr(mixing, "RUN", 5)
     sources = ["a", "b", "é", None, "z", "tiny", "void"][: 3 + seed]
-    rows = [(i, words(rng, rng.choice([0, 1, 5, 50, 300])) if s != "void" else "", "en", s, 0) for i in range(150) for s in [sources[0] if rng.random() < 0.5 else rng.choice(sources)]]
-    got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    counts = [0, 1, 5, 50] if block == 1 else [0, 1, 5, 50, 300]
+    rows = [(i, words(rng, rng.choice(counts)) if s != "void" else "", "en", s, 0) for i in range(150) for s in [sources[0] if rng.random() < 0.5 else rng.choice(sources)]]
+    rows.append((150, "alone", "en", "one word", 0))
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = mixing.mix(docs).collect()
     again = mixing.mix(spark.createDataFrame(rows[::-1], DOCS).repartition(2)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
-    source = {r[0]: r[3] for r in rows}
-    sizes = defaultdict(int)
-    for r in rows:
-        sizes[r[3]] += len(r[1].split())
-    want, taken = brute.targets(dict(sizes)), defaultdict(int)
+    shuffled = {r[0]: (r[1], r[2]) for r in docs.select("doc_id", F.xxhash64(F.lit(1), "doc_id").alias("h"), "text").select("doc_id", F.pmod(F.shiftrightunsigned("h", 8), F.lit(max(1, -(-len(rows) // mixing.BUCKET)))), "h").collect()}
+    want, taken = brute.mix([(d, s, len(t.split())) for d, t, _, s, _ in rows], shuffled)
     for r in got:
-        s = source[r["doc_id"]]
-        assert r["size"] == len(rows[r["doc_id"]][1].split()) and r["source_size"] == sizes[s]
-        assert r["target"] == pytest.approx(want[s]) and 0 <= r["taken"] <= 3 * r["size"]
-        taken[s] += r["taken"]
-    for s in sizes:
-        assert abs(taken[s] - want[s]) <= 1 + 1e-6
+        assert r["size"] == len(rows[r["doc_id"]][1].split()) and r["source_size"] == want[rows[r["doc_id"]][3]][0]
+        assert r["target"] == pytest.approx(want[rows[r["doc_id"]][3]][1])
+        assert r["taken"] == taken[r["doc_id"]] <= 3 * r["size"]
+    for s, (_, target) in want.items():
+        assert sum(taken[r[0]] for r in rows if r[3] == s) == int(target + 1e-9)
 
 
 def test_schedule_discrepancy(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 16)
-    sizes = spark.createDataFrame([("a", 40_000), ("b", 30_000), ("c", 50_000)], "source string, size long")
-    goals = mixing.targets(sizes)
-    block, slots = mixing.block_size(goals)
-    got = mixing.schedule(goals, block, slots).collect()
-    want = brute.targets({"a": 40_000, "b": 30_000, "c": 50_000})
-    rank = Counter()
-    for r in sorted(got, key=lambda r: r["slot"]):
-        assert r["rank"] == rank[r["s"]]
+    sizes = {"a": 40_000, "b": 30_000, "c": 50_000, "d": 1}
+    goals = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long"))
+    got = sorted(mixing.schedule(goals, 64).collect(), key=lambda r: r["slot"])
+    want, rank, given = brute.targets(sizes), Counter(), Counter()
+    owned = {s: -(-int(want[name]) // 64) for s, name in enumerate(sizes)}
+    assert len(got) == sum(owned.values()) and len({r["slot"] for r in got}) == len(got)
+    for at, r in enumerate(got):
+        assert r["rank"] == rank[r["s"]] and r["from_word"] == 64 * r["rank"]
         rank[r["s"]] += 1
-        for s, name in enumerate("abc"):
-            assert abs(rank[s] - (r["slot"] + 1) * want[name] / 120_000) < 6 or r["slot"] > slots * 0.85
+        given[r["s"]] += r["to_word"] - r["from_word"]
+        for s, n in owned.items():
+            assert abs(rank[s] - (at + 1) * n / len(got)) < 6
+    assert given == {s: int(want[name]) for s, name in enumerate(sizes)}
+
+
+def test_running_sums(spark):
+    from threadloom.llm.common import cut
+    from threadloom.operators.order import running
+
+    rows = [(x, x % 5, x / 4) for x in random.Random(1).sample(range(1000), 200)]
+    got = {r["x"]: r for r in running(spark.createDataFrame(rows, "x long, n long, d double"), [F.desc("x")], cut, ("n", "d"), 7).collect()}
+    n, d = 0, 0.0
+    for place, (x, a, b) in enumerate(sorted(rows, reverse=True)):
+        assert (got[x]["place"], got[x]["before_n"], got[x]["before_d"]) == (place, n, d)
+        n, d = n + a, d + b
+    assert running(spark.createDataFrame([], "x long, n long"), ["x"], cut, ("n",)).count() == 0
 
 
 @pytest.fixture(scope="module")
