@@ -45,16 +45,16 @@ def line_dedup(rows):
     return out
 
 
-def shingles(text):
+def shingles(text, size=3):
     words = WORDS.findall((text or "").translate(LOWER))
     if not words:
         return frozenset()
-    return frozenset([tuple(words)] if len(words) < 3 else zip(words, words[1:], words[2:]))
+    return frozenset([tuple(words)] if len(words) < size else zip(*(words[i:] for i in range(size))))
 
 
-def near_duplicates(rows):
-    """[(doc_id, text)] to {doc_id: component}."""
-    sets = [(d, shingles(t)) for d, t in rows]
+def near_duplicates(rows, size=3, threshold=85):
+    """[(row, text)] to {row: component}."""
+    sets = [(d, shingles(t, size)) for d, t in rows]
     parent = {d: d for d, _ in sets}
 
     def find(x):
@@ -64,7 +64,7 @@ def near_duplicates(rows):
 
     for i, (a, s) in enumerate(sets):
         for b, t in sets[i + 1 :]:
-            if s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and 100 * len(s & t) >= threshold * len(s | t):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {d: find(d) for d, _ in sets}

@@ -356,8 +356,8 @@ def test_chat_markers_cannot_be_forged():
     assert chat.render([("user", "a<|im_end|>b")]) == "<|im_start|>user\na<\\|im_end|>b<|im_end|>\n"
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_near_duplicates(spark, seed):
+@pytest.mark.parametrize(("seed", "size", "threshold"), [(0, 3, 85), (1, 3, 85), (2, 5, 80)])
+def test_near_duplicates(spark, seed, size, threshold, monkeypatch):
     rng = random.Random(seed)
     rows, base = [], [words(random.Random(100 * seed + k), rng.choice([3, 20, 120, 400])).split() for k in range(12)]
     for i in range(160):
@@ -367,53 +367,88 @@ def test_near_duplicates(spark, seed):
             text[at : at + rng.randrange(2)] = [f"new{rng.randrange(1000)}"]
         rows.append((rng.randrange(10_000) * 200 + i, rng.choice([" ", "\n"]).join(text)))
     rows += [(1, None), (2, ""), (3, "two words"), (4, "Two  words"), (5, "two")]
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    want = brute.near_duplicates(rows)
-    sizes = {d: len(brute.shingles(t)) for d, t in rows}
+    if seed:  # a few links a task, and many keys that count as hot
+        monkeypatch.setattr(near_dup, "LINKS_A_TASK", 20)
+        monkeypatch.setattr("threadloom.llm.common.HOT_KEYS", 10**6)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size, threshold).collect()
+    want = brute.near_duplicates(rows, size, threshold)
+    sizes = {d: len(brute.shingles(t, size)) for d, t in rows}
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert all(r["n_shingles"] == sizes[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got)
 
 
+def test_near_duplicates_that_repeat_a_doc_id(spark):
+    """Rows of one doc_id with different texts are linked each by its own."""
+    texts = [words(random.Random(k), 60) for k in range(5)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[2]), (9, texts[0] + " x"), (8, texts[1] + " y"), (3, texts[2] + " z"), (4, texts[3]), (4, texts[3]), (None, texts[4]), (None, texts[4])]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = Counter([(7, 7, True), (7, 7, True), (7, 3, False), (9, 7, False), (8, 7, False), (3, 3, True), (4, 4, True), (4, 4, True), (None, None, True), (None, None, True)])
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == want
+
+
+def test_salted_join(spark):
+    from threadloom.llm.common import salted_join
+
+    rng = random.Random(3)
+    big = [(rng.choice([1, 1, 1, 2, 3, 4, 5, 9]), i) for i in range(300)]
+    counts = Counter(k for k, _ in big)
+    small = [(k, f"v{k}", counts[k]) for k in (1, 2, 3, 4, 5, 6) if counts[k]]
+    frames = spark.createDataFrame(big, "k long, i long"), spark.createDataFrame(small, "k long, v string, n long")
+    for total in (len(big), 100 * len(big)):
+        got = salted_join(*frames, ["k"], "n", total, ["i"])
+        assert sorted(map(tuple, got.collect())) == sorted((k, i, f"v{k}") for k, i in big if k != 9)
+
+
 def test_blocks_find_all_similar_pairs(spark, monkeypatch):
     """Members of one bucket that the star leaves apart meet in blocks, whatever their size."""
     monkeypatch.setattr(near_dup, "OUTER_BLOCK", 3)
     monkeypatch.setattr(near_dup, "INNER_BLOCK", 4)
-    rng = random.Random(4)
+    scheme = near_dup.Scheme()
     base = [words(random.Random(k), 100).split() for k in range(4)]
-    texts = {i: " ".join(base[i % 4] + [f"x{i}"]) for i in range(24)}
+    texts = {i: " ".join(base[i % 4] + [f"x{i}"]) for i in range(24)} | {50: words(random.Random(50), 100)}
     signatures = {i: near_dup.signature(near_dup.shingle_set(t)) for i, t in texts.items()}
     component = {i: i if i % 4 else 0 for i in texts}
-    keys = {i: near_dup.band_keys(s[None])[0].tolist() for i, s in signatures.items()}
-    members = spark.createDataFrame([(k, i, component[i]) for i in texts for k in keys[i]], "key long, rep long, component long")
-    carried = spark.createDataFrame([(i, bytearray(signatures[i].tobytes()), bytearray(near_dup._packed(t))) for i, t in texts.items()], "rep long, signature binary, packed binary")
-    got = [(r["a"], r["b"]) for r in near_dup._blocks(members, carried).collect()]
+    keys = {i: scheme.band_keys(s[None])[0].tolist() for i, s in signatures.items()}
+    members = [(k, i, component[i]) for i in texts for k in keys[i]]
+    carried = spark.createDataFrame([(i, bytearray(signatures[i].tobytes()), bytearray(near_dup._packed(t))) for i, t in texts.items()], "class long, signature binary, packed binary")
+    frame = spark.createDataFrame(members, "key long, class long, component long")
+    likely = {tuple(r) for r in near_dup._blocks(frame, carried.drop("packed"), scheme).collect()}
+    assert {i for _, i in likely} == {i for i in texts if i % 4 and i != 50}
+    chosen = spark.createDataFrame([m for m in members if m[:2] in likely], frame.schema)
+    got = [(r["a"], r["b"]) for r in near_dup._blocks(chosen, carried, scheme).collect()]
     assert all(a % 4 == b % 4 for a, b in got)
     parent = dict(component)
     for _ in texts:
         for a, b in got:
             low = min(parent[a], parent[b])
             parent = {i: low if p in (parent[a], parent[b]) else p for i, p in parent.items()}
-    assert all(parent[i] == i % 4 for i in texts)
+    assert all(parent[i] == i % 4 for i in range(24))
 
 
 def test_posterior_bounds():
-    previous = 0
-    for n, needed in near_dup.least_matches():
-        grid = np.linspace(0, 1, 20_001)[1:-1]
-        for m, below in ((needed, False), (needed - 1, True)):
-            density = np.exp(m * np.log(grid) + (n - m) * np.log1p(-grid))
-            assert (density[grid >= 0.85].sum() / density.sum() < near_dup.MISS) == below
-        assert needed >= previous
-        previous = needed
-
-
-@pytest.mark.parametrize("limit", [0, 50_000])
-def test_components_of_a_long_path(spark, monkeypatch, limit):
-    monkeypatch.setattr(near_dup, "BROADCAST_EDGES", limit)
+    for threshold in (80, 85, 95):
+        scheme, previous = near_dup.Scheme(3, threshold), 0
+        assert (1 - (threshold / 100) ** scheme.rows) ** scheme.bands < near_dup.UNMET and scheme.rows * scheme.bands == near_dup.HASHES
+        for n, needed in scheme.least_matches:
+            grid = np.linspace(0, 1, 20_001)[1:-1]
+            for m, below in ((needed, False), (needed - 1, True)):
+                density = np.exp(m * np.log(grid) + (n - m) * np.log1p(-grid))
+                assert (density[grid >= threshold / 100].sum() / density.sum() < near_dup.MISS) == below
+            assert needed >= previous
+            previous = needed
+    assert (near_dup.Scheme().bands, near_dup.Scheme().rows) == (24, 5)
+
+
+@pytest.mark.parametrize("a_task", [25, 200_000])
+def test_components_of_a_long_path(spark, monkeypatch, a_task):
+    monkeypatch.setattr(near_dup, "LINKS_A_TASK", a_task)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (5, 2)]
     random.Random(1).shuffle(edges)
-    got = {r["node"]: r["component"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 100 for i in range(100, 161)}, 1: 1, 2: 1, 5: 1}
+    want = {**{i: 100 for i in range(100, 161)}, 1: 1, 2: 1, 5: 1}
+    labels = near_dup.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["component"] for r in labels.collect()} == want
+    more = near_dup.merged(labels, spark.createDataFrame([(120, 5), (200, 201), (201, 1), (300, 301)], "a long, b long"))
+    assert {r["node"]: r["component"] for r in more.collect()} == {**dict.fromkeys(want, 1), 200: 1, 201: 1, 300: 300, 301: 300}
 
 
 def test_pool_adjacent():

@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     texts = {d: t for d, _, _, t in brute.line_dedup([(r[0], r[1]) for r in kept])}
     lined = [(r[0], texts[r[0]], *r[2:]) for r in kept]
     assert sorted(map(tuple, outputs["line_dedup"].collect())) == sorted(lined)
-    groups = brute.near_duplicates([(r[0], r[1]) for r in lined])
+    groups = brute.near_duplicates([(r[0], r[1]) for r in lined], 5, 80)
     unique = [r for r in lined if groups[r[0]] == r[0]]
     assert sorted(map(tuple, outputs["near_dedup"].collect())) == sorted(unique)
     taken = {r["doc_id"]: int(np.floor(r["taken"] / r["size"] + 0.5)) for r in mixing.mix(spark.createDataFrame(unique, DOCS)).collect() if r["size"]}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and written to the session's reliable checkpoint folder.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests on one machine) a
-    temporary folder serves. Reliable checkpoints outlive executors, and Spark's own cleaner removes them.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only on a single machine, where that is unset, a
+    temporary folder serves; on a cluster other machines wouldn't see it. Reliable checkpoints outlive executors, and
+    Spark's own cleaner removes them.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="threadloom-"))
     return df.checkpoint()
 
 
@@ -49,3 +54,33 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     cut(spark.range(0))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+#: Keys that a salted join spreads over several tasks, at most; their list is broadcast.
+HOT_KEYS = 1000
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int, spread: list[str], how: str = "inner") -> DataFrame:
+    """`big` joined to `small`, whose column `n` (dropped) says how many rows of `big`, `total` in all, hold a key.
+
+    A key with more than a HOT_KEYS-th of all rows is split by a hash of `spread` into pieces of that size. As the counts
+    add up to the total, there are never more than HOT_KEYS such keys, nor more than HOT_KEYS additional rows of `small`.
+    """
+    limit = max(1, -(-total // HOT_KEYS))
+    salts = F.ceil(F.col(n) / limit).cast("int")
+    hot = small.where(F.col(n) > limit).select(*keys, salts.alias("_salts"))
+    salt = F.pmod(F.xxhash64(F.lit(11), *spread), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")
+    placed = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return placed.join(copies, [*keys, "_salt"], how).drop("_salt", n)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, computed once, written as Parquet in the shared folder and read again.
+
+    Unlike a checkpoint, whose plan keeps the sizes estimated for the plan before it, the result is as large as its files:
+    over many joins in turn, estimates multiply to numbers that fill the driver, and small tables are never broadcast.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,27 +1,33 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-A document's set holds its distinct shingles of SHINGLE words; documents whose sets have a Jaccard similarity of at
-least THRESHOLD percent are linked, and each connected group keeps its smallest doc_id.
+A document's set holds its distinct shingles of `size` words; documents whose sets have a Jaccard similarity of at least
+`threshold` percent are linked, and each connected group keeps its smallest doc_id.
 
-1. One pass over the texts: set size, a 128-bit fingerprint of the set, a signature of BANDS * ROWS minima.
-2. Equal sets collapse to a class, represented by its smallest doc_id: a group of copies, however large, is one row
-   from here on.
+1. One pass over the texts: set size, a 128-bit fingerprint of the set, a signature of HASHES minima.
+2. Equal sets collapse to a class: a group of copies, however large, is one row from here on. What stands for a class is
+   its smallest doc_id with a hash of that row's text, so rows that repeat a doc_id are judged each by its own text.
 3. Banding: classes that agree in a band meet. Each meets its bucket's smallest member first, which makes as many
    candidates as members, not their square.
 4. Candidates' signatures are compared batch by batch; a pair goes as soon as the posterior probability (uniform prior)
-   that its similarity reaches the threshold falls below MISS. Survivors are verified exactly on full sets: first the
-   best candidate of each class, then only pairs that are not yet connected.
+   that its similarity reaches the threshold falls below MISS. Only the survivors' texts are read again, and survivors
+   are verified exactly on full sets: first the best candidate of each class, then only pairs that aren't yet connected.
 5. Buckets whose members aren't all connected by then compare, in blocks of bounded size, the members outside the
-   largest connected part with all others; survivors are verified exactly in the block, which passes on only the links
-   that connect its parts. So every pair that shares a band is either connected, pruned by its posterior, or exactly
-   verified: no bucket has a cap.
+   largest connected part with all others: first signatures alone, which leaves the members with a survivor; only their
+   texts are read, and their survivors are verified exactly in blocks that pass on only the links that connect their
+   parts. So every pair that shares a band is either connected, pruned by its posterior, or exactly verified: no bucket
+   has a cap.
 
-A pair at the threshold shares no band with a probability of (1 - 0.85 ** ROWS) ** BANDS = 8e-7.
+Bands have as many rows as let a pair at the threshold share none with a probability under UNMET; at 85 percent that is
+(1 - 0.85 ** 5) ** 24 = 8e-7, at 80 percent (1 - 0.8 ** 4) ** 30 = 1e-7.
 
-Signatures and sets never go to the driver; components come from min-label propagation with pointer jumping.
+Skew. Joins by bucket, by a bucket's smallest member and by fingerprint are salted by counted sizes. Signatures and sets
+never go to the driver; components come from min-label propagation with pointer jumping, in as many tasks as its links
+ask for. Intermediate tables are written and read again, so what Spark broadcasts is small by its files' size.
 
 Defined results. Without words or text: an empty set, linked with nothing. Rows without a doc_id are linked with
-nothing and kept. Rows that repeat a doc_id are judged each by its own text. An empty table gives an empty result.
+nothing and kept. Repeated rows are one class, whose smallest doc_id is kept in each of its rows. Very long texts are
+taken whole; sets are built in memory, one text at a time. Other columns, whatever their names, are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,26 +36,28 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut
+from threadloom.llm.common import salted_join, stored
 
 SHINGLE = 3
 THRESHOLD = 85
-BANDS, ROWS = 24, 5
-HASHES = BANDS * ROWS
+HASHES = 120
 BATCH = 24
 MISS = 1e-7
+UNMET = 1e-6
 #: Members of a bucket, on either side, that one task compares at a time.
 OUTER_BLOCK, INNER_BLOCK = 256, 1024
-#: Links up to which the labels of their ends (16 bytes each) are broadcast.
-BROADCAST_EDGES = 50_000
+#: Links, or labels of their ends, that one task takes in the search for components.
+LINKS_A_TASK = 200_000
 #: Bits of the filter that tells which texts are read again; a fuller filter only lets more of them pass.
 FILTER_BUCKETS = 1024
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,7 +68,7 @@ _WORDS: dict[str, int] = {}
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_C = _rng.integers(1, 1 << 63, max(SHINGLE, ROWS) + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_C = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -100,92 +108,101 @@ def signature(members: np.ndarray) -> np.ndarray:
     return low
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Exactly: 100 * intersection >= THRESHOLD * union."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= THRESHOLD * (len(a) + len(b) - both)
-
-
-def least_matches() -> list[tuple[int, int]]:
-    """(hashes compared, matches needed): with fewer, P(similarity >= threshold) is under MISS.
-
-    With a uniform prior, the posterior after m matches of n is Beta(m + 1, n - m + 1); its tail beyond t equals
-    P(Binomial(n + 1, t) <= m).
-    """
-    t, out = THRESHOLD / 100, []
-    for n in range(BATCH, HASHES + 1, BATCH):
-        tail, m = 0.0, 0
-        while (tail := tail + comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)) < MISS:
-            m += 1
-        out.append((n, m))
-    return out
-
-
-def survivors(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of signature pairs that no batch prunes, and their numbers of matches."""
-    alive, matches = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
-    for n, needed in least_matches():
-        matches = matches + (a[alive, n - BATCH : n] == b[alive, n - BATCH : n]).sum(axis=1)
-        keep = matches >= needed
-        alive, matches = alive[keep], matches[keep]
-    return alive, matches
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, prints, signatures = [], [], []
-        for text in batch.column(1).to_pylist():
-            members = shingle_set(text)
-            sizes.append(len(members))
-            prints.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
-            signatures.append(signature(members).tobytes() if len(members) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n", "print", "signature"])
+@dataclass(frozen=True)
+class Scheme:
+    """What counts as a near copy: words in a shingle, and the least similarity in percent."""
+
+    size: int = SHINGLE
+    threshold: int = THRESHOLD
+
+    @cached_property
+    def rows(self) -> int:
+        """Hashes in a band: as many as leave a pair at the threshold unmet with a probability under UNMET."""
+        t = self.threshold / 100
+        return max((r for r in range(1, HASHES + 1) if HASHES % r == 0 and (1 - t**r) ** (HASHES // r) < UNMET), default=1)
+
+    @property
+    def bands(self) -> int:
+        return HASHES // self.rows
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Exactly: 100 * intersection >= threshold * union."""
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= self.threshold * (len(a) + len(b) - both)
+
+    @cached_property
+    def least_matches(self) -> list[tuple[int, int]]:
+        """(hashes compared, matches needed): with fewer, P(similarity >= threshold) is under MISS.
+
+        With a uniform prior, the posterior after m matches of n is Beta(m + 1, n - m + 1); its tail beyond t equals
+        P(Binomial(n + 1, t) <= m).
+        """
+        t, out = self.threshold / 100, []
+        for n in range(BATCH, HASHES + 1, BATCH):
+            tail, m = 0.0, 0
+            while (tail := tail + comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)) < MISS:
+                m += 1
+            out.append((n, m))
+        return out
+
+    def survivors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of signature pairs that no batch prunes, and their numbers of matches."""
+        alive, matches = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
+        for n, needed in self.least_matches:
+            matches = matches + (a[alive, n - BATCH : n] == b[alive, n - BATCH : n]).sum(axis=1)
+            keep = matches >= needed
+            alive, matches = alive[keep], matches[keep]
+        return alive, matches
+
+    def band_keys(self, signatures: np.ndarray) -> np.ndarray:
+        """Rows of band keys for rows of signatures."""
+        rows = signatures.astype(np.uint64).reshape(-1, self.bands, self.rows)
+        total = np.arange(self.bands, dtype=np.uint64)[None, :] * _C[-1]
+        for i in range(self.rows):
+            total = _mixed(total + rows[:, :, i] * _C[i])
+        return total.view(np.int64)
+
+    def features(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, prints, signatures = [], [], []
+            for text in batch.column(2).to_pylist():
+                members = shingle_set(text, self.size)
+                sizes.append(len(members))
+                prints.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
+                signatures.append(signature(members).tobytes() if len(members) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "hash", "n", "print", "signature"])
+
+    def keys(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = self.band_keys(_stacked(batch.column(1))).reshape(-1)
+                classes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), self.bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(classes)], ["key", "class"])
+
+    def pruned(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                alive, matches = self.survivors(_stacked(batch.column(2)), _stacked(batch.column(3)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive)), pa.array(matches)], ["a", "b", "matches"])
+
+    def verified(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        for batch in batches:
+            kept = []
+            for i in range(batch.num_rows):
+                a = batch.column(0)[i].as_py()
+                if a != last[0]:
+                    last = (a, shingle_set(_unpacked(batch.column(2)[i].as_py()), self.size))
+                if self.similar(last[1], shingle_set(_unpacked(batch.column(3)[i].as_py()), self.size)):
+                    kept.append(i)
+            chosen = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
 
 
 def _stacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """Rows of BANDS keys for rows of signatures."""
-    rows = signatures.astype(np.uint64).reshape(-1, BANDS, ROWS)
-    total = np.arange(BANDS, dtype=np.uint64)[None, :] * _C[-1]
-    for i in range(ROWS):
-        total = _mixed(total + rows[:, :, i] * _C[i])
-    return total.view(np.int64)
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = band_keys(_stacked(batch.column(1))).reshape(-1)
-        reps = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(reps)], ["key", "rep"])
-
-
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        alive, matches = survivors(_stacked(batch.column(2)), _stacked(batch.column(3)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive)), pa.array(matches)], ["a", "b", "matches"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
-    for batch in batches:
-        kept = []
-        for i in range(batch.num_rows):
-            a = batch.column(0)[i].as_py()
-            if a != last[0]:
-                last = (a, shingle_set(_unpacked(batch.column(2)[i].as_py())))
-            if similar(last[1], shingle_set(_unpacked(batch.column(3)[i].as_py()))):
-                kept.append(i)
-        chosen = pa.array(kept, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
-
-
 def _packed(text: str) -> bytes:
     return zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
 
@@ -194,54 +211,78 @@ def _unpacked(data: bytes) -> str:
     return zlib.decompress(data).decode("utf-8", "surrogatepass")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node that it reaches) for every end of the edges a, b.
+def _dense(df: DataFrame, n: int) -> DataFrame:
+    """In no more tasks than n rows ask for."""
+    return df.coalesce(max(1, -(-n // LINKS_A_TASK)))
 
-    Up to BROADCAST_EDGES edges, counted first, the labels (two numbers a node) are broadcast and lie in few partitions:
-    a round is then one small shuffle. More edges take shuffle joins.
-    """
-    edges = cut(edges.select("a", "b"))
-    n = edges.count()
-    shared, gathered = (F.broadcast, lambda df: df.coalesce(2)) if n <= BROADCAST_EDGES else (lambda df: df, lambda df: df)
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node that it reaches) for every end of the edges a, b."""
+    edges = stored(edges.select("a", "b"))
+    n = 2 * edges.count()
     ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(gathered(ways.distinct()))
-    labels = cut(gathered(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component"))))
+    both = stored(_dense(ways.distinct(), n))
+    labels = stored(_dense(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")), n))
     while True:
-        near = both.join(shared(labels), F.col("b") == F.col("node")).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_near"))
-        told = labels.join(shared(near), F.col("node") == F.col("_a")).select("node", F.least("component", "_near").alias("low"), F.col("component").alias("old"))
-        told = cut(gathered(told))
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_near"))
+        told = labels.join(near, F.col("node") == F.col("_a")).select("node", F.least("component", "_near").alias("low"), F.col("component").alias("old"))
+        told = stored(_dense(told, n))
         roots = told.select(F.col("node").alias("_root"), F.col("low").alias("_low"))
-        jumped = cut(gathered(told.join(shared(roots), F.col("low") == F.col("_root")).select("node", F.least("low", "_low").alias("component"), "old")))
+        jumped = stored(_dense(told.join(roots, F.col("low") == F.col("_root")).select("node", F.least("low", "_low").alias("component"), "old"), n))
         labels = jumped.select("node", "component")
         if not jumped.where("component <> old").limit(1).count():
             return labels
 
 
+def _lifted(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs with ca and cb, the components of their ends, where these differ."""
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
+    met = pairs.join(a, "a", "left").join(b, "b", "left")
+    return met.withColumn("ca", F.coalesce("_ca", "a")).withColumn("cb", F.coalesce("_cb", "b")).where("ca <> cb").drop("_ca", "_cb")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after some more links: only the components that these connect are searched again."""
+    moved = components(_lifted(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    moved = moved.select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    fresh = moved.join(labels, F.col("_old") == F.col("node"), "left_anti").select(F.col("_old").alias("node"), F.col("_old").alias("component"))
+    every = labels.unionByName(fresh)
+    return stored(every.join(moved, F.col("component") == F.col("_old"), "left").select("node", F.coalesce("_new", "component").alias("component")))
+
+
 class _Corpus:
     """The texts behind the classes, and what is known about pairs of them."""
 
-    def __init__(self, docs: DataFrame):
-        self.texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, "doc_id long, n long, print binary, signature binary"))
+    def __init__(self, docs: DataFrame, scheme: Scheme):
+        self.scheme = scheme
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col("text").cast("string").alias("text"))
+        self.rows = stored(self.texts.mapInArrow(scheme.features, "doc_id long, hash long, n long, print binary, signature binary"))
         real = self.rows.where("n > 0 and doc_id is not null")
-        self.classes = cut(real.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")))
-        self.signatures = self.classes.select("rep", "signature")
+        classes = real.groupBy("print").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+        self.classes = stored(classes.select("print", "first.doc_id", "first.hash", "copies", "signature", F.monotonically_increasing_id().alias("class")))
+        self.signatures = self.classes.select("class", "signature")
+
+    def _met(self, pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+        """pairs with _a and _b, the values of their ends; the pairs of a class that many of them start from are split."""
+        starts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        left = starts.join(values.select(F.col("class").alias("a"), F.col(value).alias("_a")), "a")
+        right = values.select(F.col("class").alias("b"), F.col(value).alias("_b"))
+        return salted_join(pairs, left, ["a"], "n", pairs.count(), ["b"]).join(right, "b").select("a", "b", "_a", "_b")
 
     def prune(self, pairs: DataFrame) -> DataFrame:
         """a, b, matches of the pairs a, b whose signatures leave them possible."""
-        left = self.signatures.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-        right = self.signatures.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long, matches long"))
+        return stored(self._met(stored(pairs), self.signatures, "signature").mapInArrow(self.scheme.pruned, "a long, b long, matches long"))
 
-    def read_again(self, pairs: DataFrame) -> DataFrame:
-        """rep, packed: the texts of the documents in the pairs. A bit filter of fixed size lets few others pass."""
-        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    def read_again(self, wanted: DataFrame) -> DataFrame:
+        """class, packed: the texts of the classes. A bit filter of fixed size lets few others pass."""
+        ends = stored(wanted.distinct().join(self.classes.select("class", "doc_id", "hash"), "class"))
         bits = 8 * 4096 * FILTER_BUCKETS
 
-        def place(c: str, seed: int):
-            return F.pmod(F.xxhash64(F.lit(seed), c), F.lit(bits)) + 1
+        def place(seed: int) -> Column:
+            return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "hash"), F.lit(bits)) + 1
 
-        spots = ends.select(F.explode(F.array(place("rep", 1), place("rep", 2))).alias("p"))
+        spots = ends.select(F.explode(F.array(place(1), place(2))).alias("p"))
         maps = spots.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
         whole = np.zeros(FILTER_BUCKETS * 4096, dtype=np.uint8)
         for row in maps:
@@ -253,44 +294,45 @@ class _Corpus:
             table = shared.value
             for batch in batches:
                 hit = np.ones(batch.num_rows, dtype=bool)
-                for k in (2, 3):
+                for k in (3, 4):
                     p = batch.column(k).to_numpy(zero_copy_only=False) - 1
                     hit &= (table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
                 part = batch.filter(pa.array(hit))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_packed(t or "") for t in part.column(1).to_pylist()], pa.binary())], ["_doc", "packed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_packed(t or "") for t in part.column(2).to_pylist()], pa.binary())], ["doc_id", "hash", "packed"])
 
-        found = self.texts.select("doc_id", "text", place("doc_id", 1).alias("p1"), place("doc_id", 2).alias("p2")).mapInArrow(run, "_doc long, packed binary")
-        return cut(found.join(ends, F.col("_doc") == F.col("rep")).groupBy("rep").agg(F.first("packed").alias("packed")))
+        found = self.texts.where("doc_id is not null").select("doc_id", "hash", "text", place(1).alias("p1"), place(2).alias("p2")).mapInArrow(run, "doc_id long, hash long, packed binary")
+        return stored(found.join(ends, ["doc_id", "hash"]).groupBy("class").agg(F.first("packed").alias("packed")))
 
     def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs a, b whose full sets are similar."""
-        left = texts.select(F.col("rep").alias("a"), F.col("packed").alias("ta"))
-        right = texts.select(F.col("rep").alias("b"), F.col("packed").alias("tb"))
-        return cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"))
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet."""
-    a = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
-    b = labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
-    met = pairs.join(a, "a", "left").join(b, "b", "left")
-    return met.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb")
+        return stored(self._met(stored(pairs.select("a", "b")), texts, "packed").mapInArrow(self.scheme.verified, "a long, b long"))
 
 
 class _Block:
-    """Outer rows against inner rows of one bucket; finds links that connect components, at most one each."""
+    """Outer rows against inner rows of one bucket."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, scheme: Scheme):
         get = lambda c: table.column(c).to_numpy()
-        self.side, self.rep, self.component, self.outside = get("side"), get("rep"), get("component"), get("outside")
+        self.scheme, self.key = scheme, table.column("key")[0].as_py()
+        self.side, self.ids, self.component, self.outside = get("side"), get("class"), get("component"), get("outside")
         self.signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
-        self.packed, self.sets = table.column("packed"), {}
-        first = self.signatures[:1]
-        self.band = int(np.flatnonzero(band_keys(first)[0] == table.column("key")[0].as_py())[0])
+        self.packed, self.sets = table.column("packed") if "packed" in table.column_names else None, {}
+        self.band = int(np.flatnonzero(scheme.band_keys(self.signatures[:1])[0] == self.key)[0])
+        self.inner = np.flatnonzero(self.side == 1)
+
+    def possible(self, i: int, root: np.ndarray) -> np.ndarray:
+        """The inner rows outside an outer row's part that its signature leaves possible."""
+        # Two outer rows meet twice; one of the meetings is enough.
+        others = self.inner[(root[self.inner] != root[i]) & (~self.outside[self.inner] | (self.ids[self.inner] > self.ids[i]))]
+        # A pair that shares several bands belongs to the first of them.
+        agree = (self.signatures[others] == self.signatures[i]).reshape(-1, self.scheme.bands, self.scheme.rows).all(axis=2)
+        others = others[agree[:, self.band] & (agree.argmax(axis=1) == self.band)]
+        alive, _ = self.scheme.survivors(np.broadcast_to(self.signatures[i], (len(others), HASHES)), self.signatures[others])
+        return others[alive]
 
     def members(self, row: int) -> np.ndarray:
         if row not in self.sets:
-            self.sets[row] = shingle_set(_unpacked(self.packed[row].as_py()))
+            self.sets[row] = shingle_set(_unpacked(self.packed[row].as_py()), self.scheme.size)
         return self.sets[row]
 
     def similar_to(self, row: int, others: np.ndarray) -> np.ndarray:
@@ -300,87 +342,97 @@ class _Block:
         every = np.concatenate(sets)
         at = np.minimum(np.searchsorted(own, every), len(own) - 1)
         both = np.add.reduceat((own[at] == every).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
-        return others[100 * both >= THRESHOLD * (len(own) + sizes - both)]
+        return others[100 * both >= self.scheme.threshold * (len(own) + sizes - both)]
+
+    def with_survivors(self) -> list[int]:
+        """The classes that have a possible partner in another part."""
+        found = np.zeros(len(self.ids), dtype=bool)
+        for i in np.flatnonzero(self.side == 0):
+            others = self.possible(i, self.component)
+            found[others] = True
+            found[i] |= len(others) > 0
+        return np.unique(self.ids[found]).tolist()
 
     def links(self) -> list[tuple[int, int]]:
+        """Links that connect parts, no more than that takes."""
         root, found = self.component.copy(), []
-        inner = np.flatnonzero(self.side == 1)
         for i in np.flatnonzero(self.side == 0):
-            # Two outer rows meet twice; one of the meetings is enough.
-            others = inner[(root[inner] != root[i]) & (~self.outside[inner] | (self.rep[inner] > self.rep[i]))]
-            if not len(others):
-                continue
-            # A pair that shares several bands belongs to the first of them.
-            agree = (self.signatures[others] == self.signatures[i]).reshape(-1, BANDS, ROWS).all(axis=2)
-            others = others[agree[:, self.band] & (agree.argmax(axis=1) == self.band)]
-            alive, _ = survivors(np.broadcast_to(self.signatures[i], (len(others), HASHES)), self.signatures[others])
-            if not len(alive):
-                continue
-            for j in self.similar_to(i, others[alive]):
+            others = self.possible(i, root)
+            for j in self.similar_to(i, others) if len(others) else ():
                 if root[j] != root[i]:
-                    found.append((min(int(self.rep[i]), int(self.rep[j])), max(int(self.rep[i]), int(self.rep[j]))))
+                    found.append((min(int(self.ids[i]), int(self.ids[j])), max(int(self.ids[i]), int(self.ids[j]))))
                     root[root == root[j]] = root[i]
         return found
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    found = _Block(table).links()
-    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+def _blocks(members: DataFrame, carried: DataFrame, scheme: Scheme) -> DataFrame:
+    """From members (key, class, component) and carried (class, signature, perhaps packed): what their blocks find.
 
-
-def _blocks(members: DataFrame, carried: DataFrame) -> DataFrame:
-    """a, b: verified links between members of the same bucket and of different components.
-
-    members: key, rep, component; carried: rep, signature, packed. Members outside a bucket's largest component (the
-    outer ones) meet all others, in blocks. A task gives no more links than it needs to connect what it saw.
+    Without texts: key, class of the members with a possible partner in another component. With texts: a, b, verified
+    links between components. Members outside a bucket's largest component (the outer ones) meet all others, in blocks.
     """
+    exact = "packed" in carried.columns
     parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    main = main.select("key", F.col("main.component").alias("main"), "all", (F.col("all") - F.col("main.n")).alias("outer"))
-    met = members.join(main, "key").withColumn("outside", F.col("component") != F.col("main"))
-    spread = F.xxhash64("rep")
+    main = stored(main.select("key", F.col("main.component").alias("main"), "all", (F.col("all") - F.col("main.n")).alias("outer"), F.col("all").alias("n")).where("outer > 0"))
+    met = salted_join(members, main, ["key"], "n", members.count(), ["class"]).withColumn("outside", F.col("component") != F.col("main"))
+    spread = F.xxhash64("class")
     blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     own = F.pmod(spread, blocks("outer", OUTER_BLOCK)).cast("int")
     inner = F.pmod(spread, blocks("all", INNER_BLOCK)).cast("int")
     outer = met.where("outside").withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), blocks("all", INNER_BLOCK) - 1))).withColumn("side", F.lit(0))
     every = met.withColumn("y", inner).withColumn("x", F.explode(F.sequence(F.lit(0), blocks("outer", OUTER_BLOCK) - 1))).withColumn("side", F.lit(1))
-    columns = ["key", "x", "y", "side", "rep", "component", "outside"]
-    dealt = outer.select(*columns).unionByName(every.select(*columns)).join(carried, "rep")
-    return dealt.groupBy("key", "x", "y").applyInArrow(_compare, "a long, b long").distinct()
+    columns = ["key", "x", "y", "side", "class", "component", "outside"]
+    dealt = outer.select(*columns).unionByName(every.select(*columns)).join(carried, "class")
+
+    def compare(table: pa.Table) -> pa.Table:
+        block = _Block(table, scheme)
+        if exact:
+            found = block.links()
+            return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+        found = block.with_survivors()
+        return pa.table({"key": pa.array([block.key] * len(found), pa.int64()), "class": pa.array(found, pa.int64())})
+
+    return dealt.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long" if exact else "key long, class long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    corpus = _Corpus(docs)
-    banded = corpus.signatures.mapInArrow(_bands, "key long, rep long")
-    shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    members = cut(banded.join(shared, "key").where("rep <> low").select("key", "rep", "low"))
-    pairs = corpus.prune(members.select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
-    texts = corpus.read_again(members.select(F.col("low").alias("a"), F.col("rep").alias("b")))
+    scheme = Scheme(size, threshold)
+    corpus = _Corpus(docs, scheme)
+    n_classes = corpus.classes.count()
+    banded = corpus.signatures.mapInArrow(scheme.keys, "key long, class long")
+    shared = stored(banded.groupBy("key").agg(F.min("class").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = stored(salted_join(banded, shared, ["key"], "n", n_classes * scheme.bands, ["class"]).select("key", "class", "low"))
+    pairs = corpus.prune(members.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct())
+    texts = corpus.read_again(pairs.select(F.explode(F.array("a", "b")).alias("class")))
 
     best = pairs.groupBy("b").agg(F.max(F.struct("matches", F.negative("a").alias("a"))).alias("best")).select(F.negative(F.col("best.a")).alias("a"), "b")
-    links = corpus.verify(best, texts)
-    labels = components(links)
-    tried = best.withColumn("_tried", F.lit(1))
-    rest = cut(_apart(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels))
-    more = corpus.verify(rest, texts)
-    if more.limit(1).count():
-        links = cut(links.unionByName(more))
-        labels = components(links)
-
-    # What is left: members of one bucket, none of them its smallest, that are still apart.
-    known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    split = known.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key")
-    left = cut(known.join(split, "key", "left_semi"))
-    if left.limit(1).count():
-        more = cut(_blocks(left, corpus.signatures.join(texts, "rep")))
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-
-    groups = corpus.classes.select("print", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("print").alias("_print"), F.coalesce("component", "rep").alias("_component"))
-    out = corpus.rows.select("doc_id", "n", "print").join(groups, F.col("print") == F.col("_print"), "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    labels = components(corpus.verify(best, texts))
+    rest = _lifted(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
+    labels = merged(labels, corpus.verify(rest, texts))
+
+    # What is left: members of one bucket that are still apart.
+    known = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+    known = stored(known)
+    split = known.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("n")).where("_low <> _high").select("key", "n")
+    left = stored(salted_join(known, split, ["key"], "n", known.count(), ["class"]))
+    likely = stored(_blocks(left, corpus.signatures, scheme))
+    if likely.limit(1).count():
+        chosen = stored(left.join(likely, ["key", "class"]))
+        read = corpus.read_again(likely.select("class"))
+        labels = merged(labels, _blocks(chosen, corpus.signatures.join(read, "class"), scheme))
+
+    # A component's name is the smallest doc_id of its classes.
+    linked = labels.join(corpus.classes.select(F.col("class").alias("node"), "doc_id"), "node")
+    names = linked.groupBy("component").agg(F.min("doc_id").alias("name"))
+    named = labels.join(names, "component").select(F.col("node").alias("class"), "name")
+    groups = corpus.classes.select("print", "class", "doc_id", "copies").join(named, "class", "left").select("print", F.coalesce("name", "doc_id").alias("name"), "copies")
+    real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = salted_join(corpus.rows.where(real).select("doc_id", F.col("n").alias("n_shingles"), "print"), groups, ["print"], "copies", corpus.rows.count(), ["doc_id"])
+    alone = corpus.rows.where(~real | real.isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("name"))
+    out = out.select("doc_id", "n_shingles", "name").unionByName(alone)
+    return out.select("doc_id", "n_shingles", F.col("name").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("name"), F.lit(True)).alias("kept"))
 
 
 SQL = r"""
