@@ -12,6 +12,8 @@ from threadloom.llm import common, line_dedup, mixing, near_dup, packing
 from threadloom.llm import quality_rules as rules
 
 
+#: Near copies in this pipeline: words in a shingle, least similarity in percent.
+SHINGLE, THRESHOLD = 5, 80
 #: Two hashes of all columns of a row: what is decided on a row is carried back to it and to rows that equal it.
 ROW = ["_tl_row", "_tl_twin"]
 
@@ -37,7 +39,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays; of rows that repeat its doc_id, one. Rows without a doc_id stay."""
-    kept = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_tl_doc")).distinct()
+    kept = near_dup.near_duplicates(docs, SHINGLE, THRESHOLD).where("kept and doc_id is not null").select(F.col("doc_id").alias("_tl_doc")).distinct()
     out = docs.join(kept, docs["doc_id"] == kept["_tl_doc"], "left").where("_tl_doc is not null or doc_id is null")
     # The join has dealt the rows by doc_id, so the window needs no further exchange.
     nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
