@@ -387,15 +387,17 @@ def test_near_duplicates_that_repeat_a_doc_id(spark):
 
 
 def test_salted_join(spark):
-    from threadloom.llm.common import salted_join
+    from threadloom.llm.common import salted_join, salts
 
     rng = random.Random(3)
     big = [(rng.choice([1, 1, 1, 2, 3, 4, 5, 9]), i) for i in range(300)]
     counts = Counter(k for k, _ in big)
     small = [(k, f"v{k}", counts[k]) for k in (1, 2, 3, 4, 5, 6) if counts[k]]
     frames = spark.createDataFrame(big, "k long, i long"), spark.createDataFrame(small, "k long, v string, n long")
-    for total in (len(big), 100 * len(big)):
-        got = salted_join(*frames, ["k"], "n", total, ["i"])
+    for total in (len(big), 100 * len(big), 10**9):
+        pieces = salts(frames[1], ["k"], "n", total)
+        assert (pieces is None) == (total == 10**9)
+        got = salted_join(frames[0], frames[1].drop("n"), ["k"], pieces, ["i"])
         assert sorted(map(tuple, got.collect())) == sorted((k, i, f"v{k}") for k, i in big if k != 9)
 
 

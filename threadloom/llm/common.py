@@ -56,23 +56,34 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-#: Keys that a salted join spreads over several tasks, at most; their list is broadcast.
+#: Keys that a salted join spreads over several tasks, at most.
 HOT_KEYS = 1000
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int, spread: list[str], how: str = "inner") -> DataFrame:
-    """`big` joined to `small`, whose column `n` (dropped) says how many rows of `big`, `total` in all, hold a key.
+def salts(counts: DataFrame, keys: list[str], n: str, total: int) -> Column | None:
+    """Into how many pieces a salted join splits a row's key; None: no key needs it. counts: keys, n (rows of the key).
 
-    A key with more than a HOT_KEYS-th of all rows is split by a hash of `spread` into pieces of that size. As the counts
-    add up to the total, there are never more than HOT_KEYS such keys, nor more than HOT_KEYS additional rows of `small`.
+    A key with more than a HOT_KEYS-th of the `total` rows is split into pieces of that size, up to a power of 2. As the
+    counts add up to the total, never more than HOT_KEYS such keys come to the driver.
     """
-    limit = max(1, -(-total // HOT_KEYS))
-    salts = F.ceil(F.col(n) / limit).cast("int")
-    hot = small.where(F.col(n) > limit).select(*keys, salts.alias("_salts"))
-    salt = F.pmod(F.xxhash64(F.lit(11), *spread), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")
-    placed = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return placed.join(copies, [*keys, "_salt"], how).drop("_salt", n)
+    limit, own = max(1, -(-total // HOT_KEYS)), F.xxhash64(*keys)
+    by_power: dict[int, list[int]] = {}
+    for r in counts.where(F.col(n) > limit).select(own.alias("key"), F.ceil(F.col(n) / limit).cast("long").alias("pieces")).collect():
+        by_power.setdefault(1 << (r["pieces"] - 1).bit_length(), []).append(r["key"])
+    pieces = None
+    for power, found in by_power.items():
+        pieces = F.when(own.isin(found), power).otherwise(F.lit(1) if pieces is None else pieces)
+    return pieces
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], pieces: Column | None, spread: list[str], how: str = "inner") -> DataFrame:
+    """`big` joined to `small` by `keys`; a hash of `spread` deals the rows of a hot key to its pieces, where copies of
+    the key's row in `small` wait. `pieces` comes from salts()."""
+    if pieces is None:
+        return big.join(small, keys, how)
+    salt = F.pmod(F.xxhash64(F.lit(11), *spread), pieces.cast("long")).cast("int")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -33,7 +33,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import salted_join, stored
+from threadloom.llm.common import salted_join, salts, stored
 
 SHINGLE = 3
 THRESHOLD = 85
@@ -60,51 +59,60 @@ OUTER_BLOCK, INNER_BLOCK = 256, 1024
 LINKS_A_TASK = 200_000
 #: Bits of the filter that tells which texts are read again; a fuller filter only lets more of them pass.
 FILTER_BUCKETS = 1024
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _REMEMBERED = 500_000
-_WORDS: dict[str, int] = {}
 
 _rng = np.random.default_rng(7)
-_A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _C = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+class _Words(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_WORDS = _Words()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    text = text or ""
-    words = WORDS.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+def shingle_set(text: str | bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text, or of its UTF-8 bytes."""
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    # For bytes, lower() changes A-Z alone and split() splits at U+0020 and U+0009 to U+000D alone.
+    words = raw.lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    known = _WORDS
-    if len(known) > _REMEMBERED:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    if len(_WORDS) > _REMEMBERED:
+        _WORDS.clear()
+    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     if len(h) < size:
         short = np.append(h, np.uint64(len(h)))
         return _mixed((short * _C[: len(short)][::-1]).sum(keepdims=True))
     n = len(h) - size + 1
     total = h[:n] * _C[0]
     for i in range(1, size):
-        total = total + h[i : i + n] * _C[i]
-    return np.unique(_mixed(total))
+        total += h[i : i + n] * _C[i]
+    total = np.sort(_mixed(total))
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def signature(members: np.ndarray) -> np.ndarray:
     """The minimum of each hash function over the set."""
     low = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(members), 4096):
-        part = (members[None, at : at + 4096] * _A[:, None] + _B[:, None]) >> np.uint64(32)
-        low = np.minimum(low, part.min(axis=1).astype(np.uint32))
+    folded = (members >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(folded), 2048):
+        part = folded[None, at : at + 2048] * _A[:, None]
+        part += _B[:, None]
+        low = np.minimum(low, part.min(axis=1))
     return low
 
 
@@ -192,8 +200,8 @@ class Scheme:
             for i in range(batch.num_rows):
                 a = batch.column(0)[i].as_py()
                 if a != last[0]:
-                    last = (a, shingle_set(_unpacked(batch.column(2)[i].as_py()), self.size))
-                if self.similar(last[1], shingle_set(_unpacked(batch.column(3)[i].as_py()), self.size)):
+                    last = (a, shingle_set(zlib.decompress(batch.column(2)[i].as_py()), self.size))
+                if self.similar(last[1], shingle_set(zlib.decompress(batch.column(3)[i].as_py()), self.size)):
                     kept.append(i)
             chosen = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
@@ -207,10 +215,6 @@ def _packed(text: str) -> bytes:
     return zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
 
 
-def _unpacked(data: bytes) -> str:
-    return zlib.decompress(data).decode("utf-8", "surrogatepass")
-
-
 def _dense(df: DataFrame, n: int) -> DataFrame:
     """In no more tasks than n rows ask for."""
     return df.coalesce(max(1, -(-n // LINKS_A_TASK)))
@@ -265,10 +269,10 @@ class _Corpus:
 
     def _met(self, pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
         """pairs with _a and _b, the values of their ends; the pairs of a class that many of them start from are split."""
-        starts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        left = starts.join(values.select(F.col("class").alias("a"), F.col(value).alias("_a")), "a")
+        pieces = salts(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), ["a"], "n", pairs.count())
+        left = values.select(F.col("class").alias("a"), F.col(value).alias("_a"))
         right = values.select(F.col("class").alias("b"), F.col(value).alias("_b"))
-        return salted_join(pairs, left, ["a"], "n", pairs.count(), ["b"]).join(right, "b").select("a", "b", "_a", "_b")
+        return salted_join(pairs, left, ["a"], pieces, ["b"]).join(right, "b").select("a", "b", "_a", "_b")
 
     def prune(self, pairs: DataFrame) -> DataFrame:
         """a, b, matches of the pairs a, b whose signatures leave them possible."""
@@ -332,7 +336,7 @@ class _Block:
 
     def members(self, row: int) -> np.ndarray:
         if row not in self.sets:
-            self.sets[row] = shingle_set(_unpacked(self.packed[row].as_py()), self.scheme.size)
+            self.sets[row] = shingle_set(zlib.decompress(self.packed[row].as_py()), self.scheme.size)
         return self.sets[row]
 
     def similar_to(self, row: int, others: np.ndarray) -> np.ndarray:
@@ -374,8 +378,8 @@ def _blocks(members: DataFrame, carried: DataFrame, scheme: Scheme) -> DataFrame
     exact = "packed" in carried.columns
     parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    main = stored(main.select("key", F.col("main.component").alias("main"), "all", (F.col("all") - F.col("main.n")).alias("outer"), F.col("all").alias("n")).where("outer > 0"))
-    met = salted_join(members, main, ["key"], "n", members.count(), ["class"]).withColumn("outside", F.col("component") != F.col("main"))
+    main = stored(main.select("key", F.col("main.component").alias("main"), "all", (F.col("all") - F.col("main.n")).alias("outer")).where("outer > 0"))
+    met = salted_join(members, main, ["key"], salts(main, ["key"], "all", members.count()), ["class"]).withColumn("outside", F.col("component") != F.col("main"))
     spread = F.xxhash64("class")
     blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     own = F.pmod(spread, blocks("outer", OUTER_BLOCK)).cast("int")
@@ -403,7 +407,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     n_classes = corpus.classes.count()
     banded = corpus.signatures.mapInArrow(scheme.keys, "key long, class long")
     shared = stored(banded.groupBy("key").agg(F.min("class").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = stored(salted_join(banded, shared, ["key"], "n", n_classes * scheme.bands, ["class"]).select("key", "class", "low"))
+    pieces = salts(shared, ["key"], "n", n_classes * scheme.bands)
+    members = stored(salted_join(banded, shared, ["key"], pieces, ["class"]).select("key", "class", "low"))
     pairs = corpus.prune(members.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct())
     texts = corpus.read_again(pairs.select(F.explode(F.array("a", "b")).alias("class")))
 
@@ -415,8 +420,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     # What is left: members of one bucket that are still apart.
     known = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
     known = stored(known)
-    split = known.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("n")).where("_low <> _high").select("key", "n")
-    left = stored(salted_join(known, split, ["key"], "n", known.count(), ["class"]))
+    split = stored(known.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("n")).where("_low <> _high").select("key", "n"))
+    left = stored(salted_join(known, split.select("key"), ["key"], salts(split, ["key"], "n", known.count()), ["class"]))
     likely = stored(_blocks(left, corpus.signatures, scheme))
     if likely.limit(1).count():
         chosen = stored(left.join(likely, ["key", "class"]))
@@ -427,9 +432,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     linked = labels.join(corpus.classes.select(F.col("class").alias("node"), "doc_id"), "node")
     names = linked.groupBy("component").agg(F.min("doc_id").alias("name"))
     named = labels.join(names, "component").select(F.col("node").alias("class"), "name")
-    groups = corpus.classes.select("print", "class", "doc_id", "copies").join(named, "class", "left").select("print", F.coalesce("name", "doc_id").alias("name"), "copies")
+    groups = corpus.classes.select("print", "class", "doc_id").join(named, "class", "left").select("print", F.coalesce("name", "doc_id").alias("name"))
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    out = salted_join(corpus.rows.where(real).select("doc_id", F.col("n").alias("n_shingles"), "print"), groups, ["print"], "copies", corpus.rows.count(), ["doc_id"])
+    out = salted_join(corpus.rows.where(real).select("doc_id", F.col("n").alias("n_shingles"), "print"), groups, ["print"], salts(corpus.classes, ["print"], "copies", corpus.rows.count()), ["doc_id"])
     alone = corpus.rows.where(~real | real.isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("name"))
     out = out.select("doc_id", "n_shingles", "name").unionByName(alone)
     return out.select("doc_id", "n_shingles", F.col("name").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("name"), F.lit(True)).alias("kept"))
