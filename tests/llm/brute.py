@@ -132,35 +132,56 @@ def maximal_conversations(rows):
     return {min(c, key=lambda x: (x is not None, x)): (len(t), len(c)) for t, c in groups.items() if t not in longer}
 
 
-def robust_distances(vectors, groups, floors, covered, steps, shrink, correction):
+def robust_estimate(x, floors, covered, progress):
+    """Rows of `x`, as numbers, that the smallest determinant over three starts and any number of steps covers."""
+    def quantile(values, p):
+        return np.sort(values)[max(0, int(np.ceil(p * len(values))) - 1)]
+
+    def size(cov):
+        return np.log(np.maximum(np.linalg.eigvalsh(cov / np.outer(floors, floors)), 1)).sum()
+
+    def precision(cov):
+        """Inverse after raising small eigenvalues, by adding what they lack along their directions."""
+        unit = cov / np.outer(floors, floors)
+        values, vectors = np.linalg.eigh(unit)
+        for value, vector in zip(values, vectors.T):
+            unit = unit + max(0, 1 - value) * np.outer(vector, vector)
+        return np.linalg.inv(unit * np.outer(floors, floors))
+
+    median = np.array([quantile(c, 0.5) for c in x.T])
+    scale = np.maximum(1.4826 * np.array([quantile(c, 0.5) for c in np.abs(x - median).T]), floors)
+    z = (x - median) / scale
+    u = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    signs = (u.T @ u / len(x) + 0.01 * np.eye(x.shape[1])) * np.outer(scale, scale)
+    best = (np.inf, None)
+    for centre, inverse in ((median, np.diag(scale**-2.0)), (x.mean(axis=0), precision(np.cov(x.T, bias=True))), (median, np.linalg.inv(signs))):
+        last, rows = np.inf, None
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+            near = np.flatnonzero(d <= quantile(d, covered))
+            cov = np.cov(x[near].T, bias=True).reshape(len(floors), -1)
+            if not size(cov) < last - progress:
+                break
+            last, rows, centre, inverse = size(cov), near, x[near].mean(axis=0), precision(cov)
+        if last < best[0]:
+            best = (last, rows)
+    return (*best, precision)
+
+
+def robust_distances(vectors, groups, floors, covered, progress, shrink, correction):
     """Distances of the rows of `vectors` to the robust estimate of their group (lang, source)."""
-    def quantile(x, p):
-        return np.sort(x)[max(0, int(np.ceil(p * len(x))) - 1)]
-
     members = {g: np.array([i for i, x in enumerate(groups) if x == g]) for g in set(groups)}
-    centre, precision = {}, {}
+    near, out = {}, np.zeros(len(vectors))
+    for g, rows in members.items():
+        _, chosen, precision = robust_estimate(vectors[rows], floors, covered, progress)
+        near[g] = rows[chosen]
     for g, rows in members.items():
-        centre[g] = np.array([quantile(x, 0.5) for x in vectors[rows].T])
-        spread = np.array([quantile(x, 0.5) for x in np.abs(vectors[rows] - centre[g]).T])
-        precision[g] = np.diag(1 / np.maximum(1.4826 * spread, floors) ** 2)
-
-    def distances():
-        out = np.zeros(len(vectors))
-        for g, rows in members.items():
-            d = vectors[rows] - centre[g]
-            out[rows] = np.einsum("ij,jk,ik->i", d, precision[g], d)
-        return out
-
-    for _ in range(steps):
-        d2 = distances()
-        near = {g: rows[d2[rows] <= quantile(d2[rows], covered)] for g, rows in members.items()}
-        for g in members:
-            wide = np.concatenate([r for h, r in near.items() if h[0] == g[0]])
-            share = len(near[g]) / (len(near[g]) + shrink)
-            cov = correction * (share * np.cov(vectors[near[g]].T, bias=True) + (1 - share) * np.cov(vectors[wide].T, bias=True)) + np.diag(np.square(floors))
-            centre[g] = share * vectors[near[g]].mean(axis=0) + (1 - share) * vectors[wide].mean(axis=0)
-            precision[g] = np.linalg.inv(cov)
-    return distances()
+        wide = np.concatenate([r for h, r in near.items() if h[0] == g[0]])
+        share = len(near[g]) / (len(near[g]) + shrink)
+        cov = correction * (share * np.cov(vectors[near[g]].T, bias=True) + (1 - share) * np.cov(vectors[wide].T, bias=True))
+        d = vectors[rows] - share * vectors[near[g]].mean(axis=0) - (1 - share) * vectors[wide].mean(axis=0)
+        out[rows] = np.einsum("ij,jk,ik->i", d, precision(cov), d)
+    return out
 
 
 def quality_inputs(text):

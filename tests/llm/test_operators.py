@@ -249,7 +249,7 @@ def test_quality_rules(spark, prose):
             x = [np.log(sum(map(len, w)) / len(w)), np.sqrt(r["n_symbols"] / len(w)), np.sqrt(sum(c.isupper() for c in text) / len(w)), 0.0, 0.0, np.log(len(set(w)) + 1) / np.log(len(w) + 1)]
             passed.append((doc_id, (lang, source), x))
     correction = quality_rules.COVERED / quality_rules.chi2_cdf(quality_rules.chi2_quantile(quality_rules.COVERED, 6), 8)
-    want = brute.robust_distances(np.array([p[2] for p in passed]), [p[1] for p in passed], np.array(quality_rules.FLOORS), quality_rules.COVERED, quality_rules.STEPS, quality_rules.SHRINK, correction)
+    want = brute.robust_distances(np.array([p[2] for p in passed]), [p[1] for p in passed], np.array(quality_rules.FLOORS), quality_rules.COVERED, quality_rules.PROGRESS, quality_rules.SHRINK, correction)
     limit = quality_rules.chi2_quantile(quality_rules.SURE, 6)
     for (doc_id, _, _), d in zip(passed, want):
         assert got[doc_id]["distance2"] == pytest.approx(d, rel=1e-6)
@@ -260,6 +260,29 @@ def test_quality_rules(spark, prose):
     assert sum(got[i]["kept"] for i in clean) >= 0.99 * len(clean)
 
 
+def test_determinant_against_an_independent_search(spark, monkeypatch):
+    """A small group with planted outliers: no subset that random starts find has a smaller determinant."""
+    rng = np.random.default_rng(2)
+    mix = rng.normal(size=(6, 6)) * 0.5
+    x = np.vstack([rng.normal(size=(36, 6)) @ mix, rng.normal(size=(9, 6)) * 0.2 + 6])
+    vectors = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{c} double" for c in quality_rules.X)).repartition(3)
+    state = quality_rules._starts(vectors, None)
+    sizes = []
+    while state.where("moving").count():
+        state = quality_rules._step(vectors, state, None)
+        sizes.append({r["start"]: r["best"] for r in state.collect()})
+    assert all(b[k] <= a[k] for a, b in zip(sizes, sizes[1:]) for k in a)
+    h, least = int(np.ceil(quality_rules.COVERED * len(x))), np.inf
+    for _ in range(300):
+        near = rng.choice(len(x), 7, replace=False)
+        for _ in range(30):
+            cov = np.cov(x[near].T, bias=True) + 1e-9 * np.eye(6)
+            d = np.einsum("ij,jk,ik->i", x - x[near].mean(axis=0), np.linalg.inv(cov), x - x[near].mean(axis=0))
+            near = np.argsort(d, kind="stable")[:h]
+        least = min(least, quality_rules.floored(np.cov(x[near].T, bias=True))[0])
+    assert min(sizes[-1].values()) <= least + 1e-6
+
+
 def test_quality_rules_on_labelled_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
