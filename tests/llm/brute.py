@@ -119,6 +119,17 @@ def base_digest(text):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_secrets(text)).encode()).hexdigest()
 
 
+def all_secrets(text, ratios, alphabet, shortest, evidence, margin):
+    """Base spans and the random ones, by a plain look at every candidate."""
+    base = base_secrets(text)
+    found = [(a, {"assign": 0, "access": 1, "hex": 2}[k], k, b) for k, a, b in base]
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{shortest},}}", text):
+        score = sum(ratios[alphabet.index(x) * len(alphabet) + alphabet.index(y)] for x, y in zip(m[0], m[0][1:]))
+        if score > max(evidence, margin * (len(m[0]) - 1)) and not any(a < m.end() and m.start() < b for _, a, b in base):
+            found.append((m.start(), 3, "markov", m.end()))
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
 def maximal_conversations(rows):
     """[(conv_id, turn, role, text)] to {conv_id: (n_turns, n_copies)}."""
     talks = defaultdict(set)
