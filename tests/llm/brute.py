@@ -98,6 +98,40 @@ def mix(docs, shuffled):
     return {s: (sizes[s], goals[s]) for s in sizes}, taken
 
 
+def table(grid):
+    """Rows of (text, columns, rows) as a browser's grid, drawn cell by cell."""
+    owner, begins = {}, {}
+    for y, row in enumerate(grid):
+        x = 0
+        for text, columns, rows in row:
+            while (x, y) in owner:
+                x += 1
+            begins[x, y] = text
+            for dy in range(rows):
+                for dx in range(columns):
+                    owner[x + dx, y + dy] = True
+            x += columns
+    columns = sorted({x for x, _ in begins})
+    width = {x: max(len(t) for (a, _), t in begins.items() if a == x) for x in columns}
+    lines = []
+    for y in range(len(grid)):
+        texts = [begins.get((x, y), "") for x in columns]
+        if any(texts):
+            while not texts[-1]:
+                texts.pop()
+            lines.append(" | ".join(t + " " * (width[x] - len(t)) for t, x in zip(texts, columns)).rstrip())
+    return "\n".join(lines)
+
+
+def listed(ordered, items):
+    """Nested items (word, whether the inner list is numbered, inner items) as lines."""
+    out = []
+    for i, (word, inner_ordered, inner) in enumerate(items):
+        mark = f"{i + 1}. " if ordered else "- "
+        out += [mark + word, *(" " * len(mark) + line for line in (listed(inner_ordered, inner) if inner else []))]
+    return out
+
+
 FIXED = {
     "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
     "access": (r"AKIA[A-Z0-9]+", re.A),

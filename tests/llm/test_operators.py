@@ -115,6 +115,33 @@ def test_html_omitted_head_and_body_tags(page, want):
     assert html_text.render(page)[:2] == ("T", want)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_html_tables_and_lists_against_brute_force(seed):
+    rng = random.Random(seed)
+    cell = lambda: "" if rng.random() < 0.1 else " ".join("x" * rng.choice([1, 2, 9, 80]) for _ in range(rng.randrange(1, 4)))
+    grid = [[(cell(), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2])) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 6))]
+    end = rng.choice(["", "</td>"])
+    page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan='{r}'>{t}{end}" for t, c, r in row) for row in grid) + "</table>"
+    assert html_text.render(page)[1] == brute.table(grid)
+
+    def items(depth):
+        return [(f"w{rng.randrange(99)}", rng.random() < 0.5, items(depth + 1) if depth < 3 and rng.random() < 0.4 else []) for _ in range(rng.randrange(1, 4))]
+
+    def tags(ordered, found):
+        name = "ol" if ordered else "ul"
+        return f"<{name}>" + "".join(f"<li>{w}" + (tags(o, inner) if inner else "") for w, o, inner in found) + f"</{name}>"
+
+    top = items(0)
+    assert html_text.render(tags(True, top))[1] == "\n".join(brute.listed(True, top))
+
+
+def test_html_cells():
+    wide = "y" * 300
+    assert html_text.render(f"<table><tr><td>a<td>1<tr><td>{wide}<td>2<tr><td>b<td>3")[1].split("\n") == ["a" + " " * 299 + " | 1", f"{wide} | 2", "b" + " " * 299 + " | 3"]
+    assert html_text.render("<table><tr><td><p>one<p>two<td>x<tr><td rowspan=2>r<td>s<tr><td>t")[1] == "one | x\n\ntwo\nr   | s\n    | t"
+    assert html_text.render("a<button>go</button>b <input type=submit value=Send>c<select><option>d</select>e<b>f</b>")[1] == "a go b Send c d ef"
+
+
 def test_html_query(spark):
     rows = [(1, "u", "<p>a<p>b"), (2, None, None), (None, "v", "<i>x")]
     got = html_text.extract_html(clash(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
@@ -315,6 +342,25 @@ def test_packing(spark):
     assert docs == want
 
 
+def test_packing_by_other_tokenizers(tmp_path):
+    """Files that cut or change texts in another way go through the whole tokenizer."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path(packing.VOCABULARY), encoding="utf-8") as f:
+        file = json.load(f)
+    assert packing.cuts_at_words(file)
+    texts = ["Plain Words here, twice twice.", " lead  two", "line\nend A1 é"]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**file["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {**file["pre_tokenizer"], "use_regex": False}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps({**file, **change}))
+        assert not packing.cuts_at_words({**file, **change})
+        plain = Tokenizer.from_file(str(path))
+        assert [list(np.frombuffer(x, "<u4")) for x in packing.Encoder(str(path)).encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_line_dedup(spark, seed):
     rng = random.Random(seed)

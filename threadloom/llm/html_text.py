@@ -2,7 +2,9 @@
 
 Defined results. A null or empty page gives an empty text. Text that no tag surrounds is kept. Every visible text node
 appears in the output, blanks collapsed except in <pre>. Unclosed and misnested tags never fail; neither does depth, as
-both passes use explicit stacks. Repeated pages are rendered each on its own; extra columns are ignored.
+both passes use explicit stacks, and text of any length is taken whole. The cells of a table's column are as wide as its
+longest line, so a table's text is at most as large as its rows times its columns' widths. Repeated pages are rendered
+each on its own; other columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,8 +51,12 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Cells wider than this are not padded: one long cell must not widen every row of a long table.
-WIDEST_PAD = 60
+#: These stand apart from the text around them on the same line.
+APART = frozenset("button input meter progress select textarea".split())
+#: Inputs that show their value as a label.
+LABELLED = frozenset("button reset submit".split())
+#: A cell spans so many columns and rows at most, as browsers have it.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
@@ -221,18 +227,42 @@ class Writer:
         self.gap = max(self.gap, gap)
 
 
-def _layout(rows: list[list[str]]) -> list[str]:
+def _span(cell: Node, name: str, most: int) -> int:
+    digits = re.match(r"\s*\+?(\d{1,9})", cell.attrs.get(name, ""))
+    return min(max(int(digits[1]), 1), most) if digits else 1
+
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[dict[int, str]]:
+    """Cells (text, columns, rows) at their columns; columns in which no cell begins are left out."""
+    placed, taken = [], {}
+    for row in rows:
+        cells, at, begun = {}, 0, {}
+        for text, columns, down in row:
+            while taken.get(at, 0):
+                at += 1
+            cells[at] = text
+            begun |= dict.fromkeys(range(at, at + columns), down)
+            at += columns
+        placed.append(cells)
+        taken = {c: n for c, n in ({c: n - 1 for c, n in taken.items()} | {c: max(n, taken.get(c, 0)) - 1 for c, n in begun.items()}).items() if n > 0}
+    order = {c: i for i, c in enumerate(sorted({c for cells in placed for c in cells}))}
+    return [{order[c]: text for c, text in cells.items()} for cells in placed]
+
+
+def _layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Rows of cells as lines, the cells of a column aligned; a cell of several lines takes several lines."""
+    split = [{i: text.split("\n") for i, text in row.items()} for row in _grid(rows)]
     widths: dict[int, int] = {}
-    split = [[cell.split("\n") for cell in row] for row in rows]
     for row in split:
-        for i, cell in enumerate(row):
-            widths[i] = max(widths.get(i, 0), max(map(len, cell)))
+        for i, lines in row.items():
+            widths[i] = max(widths.get(i, 0), max(map(len, lines)))
     out = []
     for row in split:
-        for k in range(max(map(len, row), default=0)):
-            cells = [cell[k] if k < len(cell) else "" for cell in row]
-            out.append(" | ".join(c.ljust(widths[i]) if widths[i] <= WIDEST_PAD else c for i, c in enumerate(cells)).rstrip())
+        if not any(any(lines) for lines in row.values()):
+            continue
+        for k in range(max(map(len, row.values()))):
+            cells = {i: lines[k] for i, lines in row.items() if k < len(lines) and lines[k]}
+            out.append(" | ".join(cells.get(i, "").ljust(widths[i]) for i in range(max(cells, default=-1) + 1)).rstrip())
     return out
 
 
@@ -270,6 +300,12 @@ def render(source: str | None) -> tuple[str, str, int, int, int]:
                 if alt := node.attrs.get("alt", "").strip():
                     out.inline(f" {alt} ")
                 continue
+            if tag in APART:
+                out.space = True
+                if tag == "input":
+                    if node.attrs.get("type", "").lower() in LABELLED:
+                        out.inline(f" {node.attrs.get('value', '')} ")
+                    continue
             if tag == "select":
                 todo += [(0, x) for option in reversed(shown_options(node)) for x in (" ", option, " ")]
                 continue
@@ -302,10 +338,10 @@ def render(source: str | None) -> tuple[str, str, int, int, int]:
             if tag in ("td", "th") and tables and tables[-1][0] and len(writers) > tables[-1][1]:
                 cell = writers.pop()
                 cell.flush()
-                tables[-1][0][-1].append("".join(cell.done))
-                span = node.attrs.get("colspan", "1")
-                tables[-1][0][-1] += [""] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,4}", span) else 0)
+                tables[-1][0][-1].append(("".join(cell.done), _span(node, "colspan", MOST_COLUMNS), _span(node, "rowspan", MOST_ROWS)))
                 continue
+            if tag in APART:
+                out.space = True
             if tag in BLOCKS:
                 out.flush()
             if tag in ("ul", "ol", "menu", "dir") and lists:
@@ -319,7 +355,7 @@ def render(source: str | None) -> tuple[str, str, int, int, int]:
                 pre -= 1
             elif tag == "table" and tables:
                 rows, _ = tables.pop()
-                if lines := [x for x in _layout([r for r in rows if any(r)]) if x]:
+                if lines := _layout(rows):
                     out.gap = max(out.gap, 2)
                     out.put(lines)
             if tag in BLOCKS:

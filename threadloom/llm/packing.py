@@ -5,12 +5,14 @@ partition, a number each, give every partition its global offset by a prefix sum
 its offset and cuts at the multiples of WINDOW. A window that two partitions share consists of records from both, with
 gapless offsets: no rows move.
 
-Defined results. A null text is empty: its only token is the separator. Repeated rows are packed each on its own. An
-empty table gives an empty result.
+Defined results. A null text is empty: its only token is the separator. Very long texts lie in many windows; their ids are
+held in memory, one text at a time. Repeated rows and rows that share a doc_id are packed each on its own, in the order in
+which the table is read. Other columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,11 +40,20 @@ _PLAIN = re.compile(rf"[{_VISIBLE}](?:.*[{_VISIBLE}])?", re.S)
 _BREAK = re.compile(rf"(?<=[{_VISIBLE}]) (?=[{_VISIBLE}])")
 
 
+def cuts_at_words(file: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE that cuts texts by the usual pattern, unchanged, before all else."""
+    before, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return bool(cuts and plain and not file.get("normalizer") and not any(t.get("lstrip") or t.get("single_word") or t.get("normalized") for t in file.get("added_tokens", ())))
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file, with a bounded memory of words.
 
     A word of letters, with or without a blank before it, and full stops or commas behind are pieces of the pattern: the
-    model gets the letters, each word once. Other new words go through the whole tokenizer.
+    model gets the letters, each word once. Other new words go through the whole tokenizer. All that holds for a byte-level
+    BPE with the usual pattern and without a normaliser; by any other file, whole texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,6 +61,10 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = cuts_at_words(json.load(f))
+        if not self.by_words:
+            return
         self.model = self.tokenizer.model
         marks = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # A Latin-1 reading of the UTF-8 bytes to the characters by which the vocabulary writes bytes.
@@ -99,6 +114,8 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_words:
+            return [self._ids(text) for text in texts]
         known, out = self.known, []
         if len(known) > REMEMBERED:
             known.clear()
