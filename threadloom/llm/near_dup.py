@@ -59,7 +59,7 @@ OUTER_BLOCK, INNER_BLOCK = 256, 1024
 LINKS_A_TASK = 200_000
 #: Bits of the filter that tells which texts are read again; a fuller filter only lets more of them pass.
 FILTER_BUCKETS = 1024
-_REMEMBERED = 500_000
+_REMEMBERED = 250_000
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
