@@ -351,13 +351,13 @@ def test_packing_by_other_tokenizers(tmp_path):
 
     with open(public_tokenizers.path(packing.VOCABULARY), encoding="utf-8") as f:
         file = json.load(f)
-    assert packing.cuts_at_words(file)
+    assert packing.cuts_at_words(Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)))
     texts = ["Plain Words here, twice twice.", " lead  two", "line\nend A1 é"]
     for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**file["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {**file["pre_tokenizer"], "use_regex": False}}):
         path = tmp_path / "other.json"
         path.write_text(json.dumps({**file, **change}))
-        assert not packing.cuts_at_words({**file, **change})
         plain = Tokenizer.from_file(str(path))
+        assert not packing.cuts_at_words(plain)
         assert [list(np.frombuffer(x, "<u4")) for x in packing.Encoder(str(path)).encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 

@@ -179,6 +179,7 @@ class Scheme:
                 prints.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
                 signatures.append(signature(members).tobytes() if len(members) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "hash", "n", "print", "signature"])
+        _WORDS.clear()  # a worker outlives its task, and what it holds counts against the executor
 
     def keys(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +206,7 @@ class Scheme:
                     kept.append(i)
             chosen = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
+        _WORDS.clear()
 
 
 def _stacked(column: pa.Array) -> np.ndarray:

@@ -12,7 +12,6 @@ which the table is read. Other columns, whatever their names, are ignored. An em
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -40,12 +39,14 @@ _PLAIN = re.compile(rf"[{_VISIBLE}](?:.*[{_VISIBLE}])?", re.S)
 _BREAK = re.compile(rf"(?<=[{_VISIBLE}]) (?=[{_VISIBLE}])")
 
 
-def cuts_at_words(file: dict) -> bool:
-    """Whether a tokenizer file is a byte-level BPE that cuts texts by the usual pattern, unchanged, before all else."""
-    before, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
-    cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    return bool(cuts and plain and not file.get("normalizer") and not any(t.get("lstrip") or t.get("single_word") or t.get("normalized") for t in file.get("added_tokens", ())))
+def cuts_at_words(tokenizer) -> bool:
+    """Whether a tokenizer is a byte-level BPE that cuts texts by the usual pattern, unchanged, before all else."""
+    before, model = tokenizer.pre_tokenizer, tokenizer.model
+    cuts = type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    plain = type(model).__name__ == "BPE" and not any(getattr(model, k, None) for k in odd)
+    added = tokenizer.get_added_tokens_decoder().values()
+    return bool(cuts and plain and tokenizer.normalizer is None and not any(t.lstrip or t.single_word or t.normalized for t in added))
 
 
 class Encoder:
@@ -61,8 +62,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.by_words = cuts_at_words(json.load(f))
+        self.by_words = cuts_at_words(self.tokenizer)
         if not self.by_words:
             return
         self.model = self.tokenizer.model
@@ -89,11 +89,14 @@ class Encoder:
         stem = word.rstrip(".,")
         if not stem.isalpha():
             return self._ids(blank + word)
+        # A stem that stands alone somewhere is remembered as a word, and nowhere else.
         key = blank + stem
-        ids = self.stems.get(key)
+        ids = self.stems.get(key) or (self.known.get(stem) if blank else None)
         if ids is None:
             written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.bytes)
-            ids = self.stems[key] = array("I", [t.id for t in self.model.tokenize("\u0120" + written if blank else written)]).tobytes()
+            ids = array("I", [t.id for t in self.model.tokenize("\u0120" + written if blank else written)]).tobytes()
+            if not blank or len(stem) < len(word):
+                self.stems[key] = ids
         if len(stem) == len(word):
             return ids
         tail = word[len(stem) :]
