@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rest() -> None:
+    """At a task's end: gives back what its batches took. Workers outlive tasks, and count against their executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; Spark's own lower() does that where every character is ASCII."""
     plain = F.octet_length(c) == F.char_length(c)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import salted_join, salts, stored
+from threadloom.llm.common import rest, salted_join, salts, stored
 
 SHINGLE = 3
 THRESHOLD = 85
@@ -179,7 +179,8 @@ class Scheme:
                 prints.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
                 signatures.append(signature(members).tobytes() if len(members) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "hash", "n", "print", "signature"])
-        _WORDS.clear()  # a worker outlives its task, and what it holds counts against the executor
+        _WORDS.clear()
+        rest()
 
     def keys(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,6 +208,7 @@ class Scheme:
             chosen = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
         _WORDS.clear()
+        rest()
 
 
 def _stacked(column: pa.Array) -> np.ndarray:
@@ -416,8 +418,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
 
     best = pairs.groupBy("b").agg(F.max(F.struct("matches", F.negative("a").alias("a"))).alias("best")).select(F.negative(F.col("best.a")).alias("a"), "b")
     labels = components(corpus.verify(best, texts))
-    rest = _lifted(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
-    labels = merged(labels, corpus.verify(rest, texts))
+    further = _lifted(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
+    labels = merged(labels, corpus.verify(further, texts))
 
     # What is left: members of one bucket that are still apart.
     known = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))

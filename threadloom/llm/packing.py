@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import cut
+from threadloom.llm.common import cut, rest
 
 WINDOW = 1024
 SEPARATOR = 0
@@ -168,6 +168,7 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
                     [part.column(0), pa.array([zlib.compress(x, 1) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
                     ["doc_id", "ids", "doc_tokens"],
                 )
+        rest()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids binary, doc_tokens long")
 

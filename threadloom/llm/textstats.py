@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from threadloom.llm.common import rest
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 
@@ -83,5 +85,6 @@ def with_stats(keep: list[str], text: str = "text"):
             columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]
             columns += [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(FIELDS))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *FIELDS])
+        rest()
 
     return run
