@@ -78,13 +78,20 @@ def most_common(values: DataFrame, value: str, order: list[str], most: int) -> D
 def category_profiles(membership: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per category, members in order of key: 8 conclusions, 8 open questions, 3 synopses, 5 keys."""
     rows = membership.join(profiles, F.col("key") == F.col("conversation_key"))
-    gathered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("key", c))), lambda x: x[c])
-    return rows.groupBy("category").agg(
-        F.slice(F.flatten(gathered("decisions")), 1, 8).alias("major_conclusions"),
-        F.slice(F.flatten(gathered("unresolved_questions")), 1, 8).alias("unresolved_threads"),
-        F.filter(F.slice(gathered("synopsis"), 1, 3), lambda s: s != "").alias("characteristic_questions"),
-        F.slice(F.array_sort(F.collect_list("key")), 1, 5).alias("representative_keys"),
-    )
+
+    def few(values: DataFrame, order: list[str], most: int, name: str) -> DataFrame:
+        """The first values of each category, ranked before they are gathered."""
+        rank = F.row_number().over(Window.partitionBy("category").orderBy(*order))
+        chosen = values.withColumn("_r", rank).where(F.col("_r") <= most)
+        return chosen.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda x: x["v"]).alias(name))
+
+    listed = lambda c: rows.select("category", "key", F.posexplode(c).alias("pos", "v"))
+    out = few(rows.select("category", "key", F.col("key").alias("v")), ["key"], 5, "representative_keys")
+    spoken = few(rows.select("category", "key", F.col("synopsis").alias("v")), ["key"], 3, "_synopses").select("category", F.filter("_synopses", lambda x: x != "").alias("characteristic_questions"))
+    for part in (few(listed("decisions"), ["key", "pos"], 8, "major_conclusions"), few(listed("unresolved_questions"), ["key", "pos"], 8, "unresolved_threads"), spoken):
+        out = out.join(part, "category", "left")
+    none = F.array().cast("array<string>")
+    return out.select("category", *(F.coalesce(c, none).alias(c) for c in ("major_conclusions", "unresolved_threads", "characteristic_questions", "representative_keys")))
 
 
 def synthesis(profiles: DataFrame, members: DataFrame, titles: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.functions import text as T
 from threadloom.functions import vocabulary as V
+from threadloom.operators.order import running
 from threadloom.operators.stats import date_of
+from threadloom.plans.session import settled
 
 
 def block_text(include_reasoning: bool = False):
@@ -52,13 +57,22 @@ def representations(conversations: DataFrame, messages: DataFrame, max_character
 
 
 def chronological(items: DataFrame) -> DataFrame:
-    """position: the place by date, undated last, then archive order. A total order: only slim rows are ranked."""
-    place = F.row_number().over(Window.orderBy(date_of().asc_nulls_last(), "source_index"))
-    slim = items.select("conversation_key", "created_at", "updated_at", "source_index").withColumn("position", place)
-    return items.join(slim.select("conversation_key", "position"), "conversation_key")
+    """position: the place by date, undated last, then archive order. Only slim rows are ranked, range by range."""
+    slim = items.select("conversation_key", "created_at", "updated_at", "source_index")
+    placed = running(slim, [date_of().asc_nulls_last(), "source_index"], settled).withColumn("position", (F.col("place") + 1).cast("int"))
+    return items.join(placed.select("conversation_key", "position"), "conversation_key")
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole, between = hashlib.sha256(), b""
+    for batch in batches:
+        for digest in batch.column(0).to_pylist():
+            whole.update(between + digest.encode())
+            between = b"\0"
+    yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest()])], ["fingerprint"])
 
 
 def source_fingerprint(items: DataFrame) -> DataFrame:
-    """One digest over all text digests in chronological order."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "text_sha256")))
-    return chronological(items).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["text_sha256"]), "\u0000"), 256).alias("fingerprint"))
+    """One digest over all text digests in chronological order: one task by definition, which streams sorted slim rows."""
+    slim = chronological(items).select("position", "text_sha256").repartition(1).sortWithinPartitions("position")
+    return slim.select("text_sha256").mapInArrow(_digest, "fingerprint string")

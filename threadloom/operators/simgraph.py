@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.operators.order import running
 from threadloom.plans.session import settled
 
 #: Vectors on either side of one task's matrix product.
@@ -197,27 +198,27 @@ def components(keys: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
-def _move(nodes: list[str], weights: dict[str, dict[str, float]], total: float, resolution: float, passes: int) -> dict[str, str]:
-    """Nodes in order of key join, again and again, the neighbouring community that raises modularity most."""
-    home = {n: n for n in nodes}
-    strength = {n: sum(weights[n].values()) for n in nodes}
-    mass = dict(strength)
+def _sweep(first: np.ndarray, other: np.ndarray, weight: np.ndarray, total: float, resolution: float, passes: int) -> np.ndarray:
+    """Communities of nodes 0, 1, ..., named by one of their nodes: in turn, each joins the neighbouring one that raises
+    modularity most, the smallest name first, until a pass changes nothing.
+
+    Node v's links are the places first[v] to first[v + 1] of `other` and `weight`.
+    """
+    n = len(first) - 1
+    home = np.arange(n)
+    strength = np.bincount(np.repeat(home, np.diff(first)), weights=weight, minlength=n)
+    mass = strength.copy()
     for _ in range(passes):
-        settled_down = True
-        for n in nodes:
-            if not strength[n]:
-                continue
-            links: dict[str, float] = {home[n]: 0.0}
-            for other, w in weights[n].items():
-                links[home[other]] = links.get(home[other], 0.0) + w
-            mass[home[n]] -= strength[n]
-            gain = {c: w - resolution * mass.get(c, 0.0) * strength[n] / total for c, w in links.items()}
-            best = max(gain.values())
-            target = min(c for c, g in gain.items() if g == best)
-            if best > gain[home[n]] + 1e-12 and target != home[n]:
-                home[n], settled_down = target, False
-            mass[home[n]] = mass.get(home[n], 0.0) + strength[n]
-        if settled_down:
+        before = home.copy()
+        for v in np.flatnonzero(strength):
+            links = slice(first[v], first[v + 1])
+            near, which = np.unique(np.append(home[other[links]], home[v]), return_inverse=True)
+            mass[home[v]] -= strength[v]
+            gain = np.bincount(which, weights=np.append(weight[links], 0.0)) - resolution * mass[near] * strength[v] / total
+            if gain.max() > gain[which[-1]] + 1e-12:
+                home[v] = near[gain.argmax()]
+            mass[home[v]] += strength[v]
+        if (home == before).all():
             break
     return home
 
@@ -234,20 +235,20 @@ def communities(keys: DataFrame, edges: DataFrame, resolution: float = 1.0, pass
     linked = edges.join(parts.select(F.col("key").alias("source_key"), "component"), "source_key")
 
     def run(table: pa.Table) -> pa.Table:
-        weights: dict[str, dict[str, float]] = {}
-        for a, b, w in zip(*(table.column(c).to_pylist() for c in ("source_key", "target_key", "similarity"))):
-            weights.setdefault(a, {})[b] = w
-            weights.setdefault(b, {})[a] = w
-        nodes = sorted(weights)
-        order = {n: dict(sorted(weights[n].items())) for n in nodes}
-        home = _move(nodes, order, 2 * total, resolution, passes)
-        return pa.table({"key": pa.array(nodes, pa.string()), "home": pa.array([home[n] for n in nodes], pa.string())})
+        ends = pa.concat_arrays([table.column(c).combine_chunks() for c in ("source_key", "target_key")])
+        nodes, places = np.unique(np.array(ends.to_pylist(), dtype=object), return_inverse=True)
+        n = table.num_rows
+        row, other = places, np.append(places[n:], places[:n])
+        order = np.lexsort((other, row))
+        first = np.searchsorted(row[order], np.arange(len(nodes) + 1))
+        weight = np.tile(table.column("similarity").to_numpy(), 2)[order]
+        home = _sweep(first, other[order], weight, 2 * total, resolution, passes)
+        return pa.table({"key": pa.array(nodes.tolist(), pa.string()), "home": pa.array(nodes[home].tolist(), pa.string())})
 
     homes = linked.groupBy("component").applyInArrow(run, "key string, home string") if total > 0 else keys.select("key", F.col("key").alias("home")).limit(0)
     every = keys.select("key").join(homes, "key", "left").select("key", F.coalesce("home", "key").alias("home"))
     first = every.groupBy("home").agg(F.min("key").alias("first"))
-    # One row a community: the numbering is global by definition.
-    number = first.withColumn("category", F.format_string("category-%04d", F.row_number().over(Window.orderBy("first"))))
+    number = running(first, ["first"], settled).withColumn("category", F.format_string("category-%04d", F.col("place") + 1))
     return every.join(number, "home").select("key", "category")
 
 

@@ -28,19 +28,15 @@ def dangling_parents(nodes: DataFrame) -> DataFrame:
 
 def edge_disagreement(nodes: DataFrame) -> DataFrame:
     """Per conversation: how declared children differ from those by parent pointers; only conversations that differ."""
-    children = canonical_children(nodes)
-    ids = nodes.groupBy("source_index").agg(F.collect_set("node_id").alias("ids"))
-    both = nodes.where("declared is not null").select(*EDGE, "declared").join(children, EDGE).join(ids, "source_index")
     distinct = F.array_distinct("declared")
-    extra = F.array_except(distinct, "children")
-    known = F.size(F.array_intersect(extra, "ids"))
-    counts = both.select(
-        "source_index",
-        F.size(F.array_except("children", distinct)).alias("missing"),
-        known.alias("conflicting"),
-        (F.size(extra) - known).alias("dangling"),
-        (F.size("declared") - F.size(distinct)).alias("duplicate"),
-    ).where("missing + conflicting + dangling + duplicate > 0")
+    stated = nodes.where("declared is not null").select(*EDGE, "declared").join(canonical_children(nodes), EDGE)
+    own = stated.select(*EDGE, F.size(F.array_except("children", distinct)).alias("missing"), (F.size("declared") - F.size(distinct)).alias("duplicate"), F.lit(0).alias("conflicting"), F.lit(0).alias("dangling"))
+    # A stated child that isn't one meets the nodes one by one: no node carries all ids of its conversation.
+    extra = stated.select(*EDGE, F.explode(F.array_except(distinct, "children")).alias("child"))
+    known = nodes.select("source_index", F.col("node_id").alias("child"), F.lit(1).alias("known")).distinct()
+    extra = extra.join(known, ["source_index", "child"], "left").select(*EDGE, F.lit(0).alias("missing"), F.lit(0).alias("duplicate"), F.coalesce("known", F.lit(0)).alias("conflicting"), (1 - F.coalesce("known", F.lit(0))).alias("dangling"))
+    kinds = ("missing", "conflicting", "dangling", "duplicate")
+    counts = own.unionByName(extra).groupBy(*EDGE).agg(*(F.sum(c).alias(c) for c in kinds)).where("missing + conflicting + dangling + duplicate > 0")
     sums = [F.sum(c).alias(f"{c}_source_edges") for c in ("missing", "conflicting", "dangling", "duplicate")]
     return counts.groupBy("source_index").agg(F.count(F.lit(1)).alias("nodes_with_differences"), *sums)
 

@@ -451,16 +451,21 @@ def ledger_snapshot(spark, sf_dir):
     return cost.ledger_snapshot(entries, Decimal(10**12))
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT doc_id AS position, ((length(text) + 2) // 3)::BIGINT AS tokens, row_number() OVER (ORDER BY doc_id) AS place FROM documents),
+b AS (SELECT place, position, tokens, 0::BIGINT AS batch, 1::BIGINT AS n, tokens AS t FROM i WHERE place = 1
+  UNION ALL SELECT i.place, i.position, i.tokens, CASE WHEN b.n >= 64 OR b.t + i.tokens > 20000 THEN b.batch + 1 ELSE b.batch END,
+    CASE WHEN b.n >= 64 OR b.t + i.tokens > 20000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 64 OR b.t + i.tokens > 20000 THEN i.tokens ELSE b.t + i.tokens END
+  FROM b JOIN i ON i.place = b.place + 1)
+SELECT position, tokens, batch FROM b""")
 def request_batches(spark, sf_dir):
     items = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), T.approximate_tokens(F.length("text"), 3).alias("tokens"))
     return cost.request_batches(items, 64, 20_000)
 
 
-@query(_GRAPH + "SELECT doc_id, key, category, round(confidence, 6) AS confidence, n_chars FROM documents JOIN assigned ON key = printf('v%06d', doc_id)")
+@query(_GRAPH + "SELECT doc_id, printf('v%06d', doc_id) AS key, category, round(confidence, 6) AS confidence, n_chars FROM documents LEFT JOIN assigned ON key = printf('v%06d', doc_id)")
 def catalog(spark, sf_dir):
     docs = X.read(spark, sf_dir, "documents").select("doc_id", F.format_string("v%06d", "doc_id").alias("key"), "n_chars")
-    return docs.join(_assigned(spark, sf_dir).select("key", "category", "confidence"), "key")
+    return docs.join(_assigned(spark, sf_dir).select("key", "category", "confidence"), "key", "left")
 
 
 _BOOK = """WITH RECURSIVE cats AS (SELECT DISTINCT source AS category, CASE WHEN source = 'src0' THEN NULL WHEN substr(source, 4)::INTEGER < 5 THEN 'src0' ELSE 'src' || (substr(source, 4)::INTEGER // 5) END AS parent, upper(source) AS name FROM documents),

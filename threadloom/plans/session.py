@@ -27,10 +27,16 @@ def session(name: str = "threadloom", master: str | None = None, **conf: str) ->
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the reliable checkpoint folder that the session names; lost executors don't matter."""
+    """`df`, computed once and kept in the reliable checkpoint folder that the session names; lost executors don't matter.
+
+    Only on a single machine a temporary folder serves where none is named: on a cluster other machines wouldn't see it.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="threadloom-"))
     return df.checkpoint()
 
 
