@@ -142,6 +142,29 @@ def representation_text(spark, sf_dir):
     return _representations(spark, sf_dir).select("conversation_key", "source_index", "message_count", "character_count", "original_character_count", "truncated", "text_sha256")
 
 
+#: The same at the default limit of 32 000 characters.
+_WHOLE = _TALKS.replace("1200", "32000").replace("759", "21292").replace("380", "10647")
+
+
+def _default_representations(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    return represent.representations(X.conversations(spark, sf_dir), _path(spark, sf_dir).withColumn("block_pos", F.lit(0)), max_conversations=most)
+
+
+@query(_WHOLE + "SELECT conversation_key, message_count, character_count, truncated, text_sha256 FROM reps")
+def representation_at_default_limit(spark, sf_dir):
+    return _default_representations(spark, sf_dir).select("conversation_key", "message_count", "character_count", "truncated", "text_sha256")
+
+
+@query(_WHOLE + "SELECT conversation_key, message_count, text_sha256 FROM reps ORDER BY day NULLS LAST, source_index LIMIT 50")
+def first_conversations(spark, sf_dir):
+    return _default_representations(spark, sf_dir, 50).select("conversation_key", "message_count", "text_sha256")
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, '~', '~0'), '/', '~1')) AS pointer_sha256 FROM documents")
+def json_pointer_parts(spark, sf_dir):
+    return X.read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.escape_pointer(F.col("text")), 256).alias("pointer_sha256"))
+
+
 @query(_TALKS + "SELECT conversation_key, row_number() OVER (ORDER BY day NULLS LAST, source_index) AS position FROM reps")
 def chronological_positions(spark, sf_dir):
     return represent.chronological(_representations(spark, sf_dir)).select("conversation_key", "position")

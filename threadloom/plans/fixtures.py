@@ -67,8 +67,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_index, conversation_id, code: what the planted faults call forth."""
     from threadloom.operators import stats, tree
+    from threadloom.plans.session import settled
 
-    talks, graph = conversations(spark, sf_dir), nodes(spark, sf_dir)
+    # Every code reads the graph: it is made once.
+    talks, graph = settled(conversations(spark, sf_dir)), settled(nodes(spark, sf_dir))
     codes = tree.dangling_parents(graph).select("source_index", F.lit("dangling_parent").alias("code"))
     codes = codes.unionByName(tree.edge_disagreement(graph).select("source_index", F.lit("source_child_edges_disagree").alias("code")))
     codes = codes.unionByName(tree.orphans(graph, talks).select("source_index", F.lit("orphan_component").alias("code")))

@@ -328,6 +328,28 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.read(spark, sf_dir, "events").select(F.col("user_id").alias("position"), F.array("event_type", after).alias("projects"))
 
 
+@query("""SELECT printf('v%06d', vec_id) AS key, array_to_string([x.i FOR x IN list_sort([{'a': -abs(embedding[i]::DOUBLE), 'i': i - 1} FOR i IN range(1, len(embedding) + 1)])][1:8], '|') AS dimensions FROM embeddings""")
+def top_dimensions(spark, sf_dir):
+    return X.vectors(spark, sf_dir).select("key", simgraph.top_dimensions(F.col("vector"), 8).alias("dimensions"))
+
+
+@query("""WITH d AS (SELECT source AS category, printf('v%06d', doc_id) AS key, doc_id, lang FROM documents),
+c AS (SELECT category, key, 1 AS pos, 'chose ' || doc_id AS v FROM d UNION ALL SELECT category, key, 2, 'speaks ' || lang FROM d),
+u AS (SELECT category, key, 1 AS pos, 'open ' || doc_id AS v FROM d WHERE doc_id % 3 = 0),
+s AS (SELECT category, key, 1 AS pos, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'about ' || doc_id END AS v FROM d),
+k AS (SELECT category, key, 1 AS pos, key AS v FROM d),
+x AS (SELECT 'c' AS part, 8 AS most, * FROM c UNION ALL SELECT 'u', 8, * FROM u UNION ALL SELECT 's', 3, * FROM s UNION ALL SELECT 'k', 5, * FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY part, category ORDER BY key, pos) AS r FROM x QUALIFY r <= most)
+SELECT category, coalesce(string_agg(v, '|' ORDER BY r) FILTER (part = 'c'), '') AS major_conclusions, coalesce(string_agg(v, '|' ORDER BY r) FILTER (part = 'u'), '') AS unresolved_threads,
+  coalesce(string_agg(v, '|' ORDER BY r) FILTER (part = 's' AND v <> ''), '') AS characteristic_questions, string_agg(v, '|' ORDER BY r) FILTER (part = 'k') AS representative_keys FROM r GROUP BY 1""")
+def category_profiles(spark, sf_dir):
+    d, key = F.col("doc_id"), F.format_string("v%06d", "doc_id")
+    docs = X.read(spark, sf_dir, "documents")
+    none = F.array().cast("array<string>")
+    profiles = docs.select(key.alias("conversation_key"), F.array(F.concat(F.lit("chose "), d), F.concat(F.lit("speaks "), "lang")).alias("decisions"), F.when(d % 3 == 0, F.array(F.concat(F.lit("open "), d))).otherwise(none).alias("unresolved_questions"), F.when(d % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("about "), d)).alias("synopsis"))
+    return longitudinal.category_profiles(docs.select(F.col("source").alias("category"), key.alias("key")), profiles)
+
+
 @query(_PAIRS + "SELECT x.l AS left, x.r AS right, min(user_id) AS first FROM q WHERE x.l <> x.r GROUP BY ALL")
 def project_pairs(spark, sf_dir):
     return longitudinal.project_pairs(_sequences(spark, sf_dir))
