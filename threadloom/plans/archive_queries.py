@@ -279,3 +279,65 @@ def normalized_export(spark, sf_dir):
     nodes = frames["node"].groupBy("source_index").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_on_current_path").alias("on_path"))
     texts = frames["block"].groupBy("source_index").agg(F.count_if(F.col("role") == "user").alias("user_messages"), F.sum(F.length("text")).alias("characters"))
     return frames["conversation"].select("source_index", "conversation_id").join(nodes, "source_index").join(texts, "source_index")
+
+
+_MESSAGE = '{"id":"m","author":{"role":"user"},"create_time":1700000000,"content":{"content_type":"text","parts":["hello"]}}'
+#: What stands in a record in place of the ordinary node, or of the ordinary message's field; by conversation, in turn.
+_FAULTS = [
+    ("node", '"text"'),
+    ("node", '{"id":"z","parent":"a","message":%s}' % _MESSAGE),
+    ("node", '{"parent":"a","children":"x","message":%s}' % _MESSAGE),
+    ("node", '{"parent":"a","children":[1],"message":%s}' % _MESSAGE),
+    ("node", '{"parent":"a","message":7}'),
+    ("author", '"x"'),
+    ("metadata", "[]"),
+    ("end_turn", '"yes"'),
+    ("author", '{"role":"Robot"}'),
+    ("content", '"x"'),
+    ("content", '{"content_type":"text","parts":"abc"}'),
+    ("content", '{"content_type":"odd"}'),
+    ("create_time", '"not a date"'),
+    ("create_time", '"2024-05-01T10:00:00"'),
+    ("create_time", '"2024-05-01T10:00:00+02:00"'),
+    ("content", '{"content_type":"thoughts","thoughts":["x","y"]}'),
+    ("author", '{"role":"USER"}'),
+    ("content", '{"content_type":"multimodal_text","parts":["see",{"content_type":"image_asset_pointer","asset_pointer":"f://1"},{"foo":1}]}'),
+]
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """An export with a record for each conversation of the table, faults planted by rule, decoded and normalised."""
+    import json
+
+    from threadloom.sources import normalize
+
+    records = []
+    for place, value in _FAULTS:
+        message = _MESSAGE if place == "node" else json.dumps({**json.loads(_MESSAGE), place: json.loads(value)})
+        node = value if place == "node" else '{"parent":"a","message":%s}' % message
+        records.append('","current_node":"b","mapping":{"a":{"parent":null},"b":%s}}' % node)
+    c = F.col("conv_id")
+    rest = F.element_at(F.array(*map(F.lit, records)), (c % len(records) + 1).cast("int"))
+    talks = X.read(spark, sf_dir, "conversations").select(c).distinct().select(F.floor(c / 200).alias("part"), c, F.concat(F.lit('{"id":"f-'), c.cast("string"), rest).alias("r"))
+    payload = talks.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("conv_id", "r"))).alias("rs"))
+    return normalize.normalize(payload.select("part", F.lit("conversations.json").alias("path"), F.encode(F.concat(F.lit("["), F.array_join(F.transform("rs", lambda x: x["r"]), ","), F.lit("]")), "utf-8").alias("content")))
+
+
+_FAULTY = "WITH c AS (SELECT DISTINCT conv_id AS c, conv_id % 18 AS k FROM conversations) "
+
+
+@query(_FAULTY + """, w AS (SELECT c, unnest(CASE k WHEN 0 THEN ['invalid_mapping_node'] WHEN 1 THEN ['node_id_mismatch'] WHEN 2 THEN ['invalid_children'] WHEN 3 THEN ['invalid_child_id'] WHEN 4 THEN ['invalid_message']
+  WHEN 5 THEN ['invalid_author', 'unknown_author_role'] WHEN 6 THEN ['invalid_message_metadata'] WHEN 7 THEN ['invalid_end_turn'] WHEN 8 THEN ['unknown_author_role'] WHEN 9 THEN ['invalid_content']
+  WHEN 10 THEN ['invalid_content_parts'] WHEN 11 THEN ['unknown_content_type'] WHEN 12 THEN ['invalid_timestamp'] WHEN 13 THEN ['naive_timestamp'] ELSE []::VARCHAR[] END) AS code FROM c)
+SELECT 'f-' || c AS conversation_id, code FROM w""")
+def malformed_record_warnings(spark, sf_dir):
+    return _faulty(spark, sf_dir)["warning"].select("conversation_id", "code")
+
+
+@query(_FAULTY + """, b AS (SELECT c, k, unnest(CASE WHEN k IN (0, 4) THEN []::STRUCT(p BIGINT, t VARCHAR, x VARCHAR)[] WHEN k IN (9, 10, 11) THEN [{'p': 0, 't': 'unknown', 'x': NULL}] WHEN k = 15 THEN [{'p': 0, 't': 'thinking_trace', 'x': 'x' || chr(10) || chr(10) || 'y'}]
+  WHEN k = 17 THEN [{'p': 0, 't': 'markdown', 'x': 'see'}, {'p': 1, 't': 'image_reference', 'x': NULL}, {'p': 2, 't': 'unknown', 'x': NULL}] ELSE [{'p': 0, 't': 'markdown', 'x': 'hello'}] END) AS b FROM c)
+SELECT 'f-' || c AS conversation_id, CASE WHEN k IN (5, 8) THEN 'unknown' ELSE 'user' END AS role, CASE k WHEN 12 THEN NULL WHEN 13 THEN '2024-05-01 10:00:00' WHEN 14 THEN '2024-05-01 08:00:00' ELSE '2023-11-14 22:13:20' END AS created_at, b.p AS block_pos, b.t AS type, b.x AS text FROM b""")
+def malformed_record_blocks(spark, sf_dir):
+    frames = _faulty(spark, sf_dir)
+    blocks = frames["block"].join(frames["message"].select("source_index", "node_id", "created_at"), ["source_index", "node_id"]).join(frames["conversation"].select("source_index", "conversation_id"), "source_index")
+    return blocks.select("conversation_id", "role", "created_at", "block_pos", "type", "text")
