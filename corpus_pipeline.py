@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences, in five stages; each takes what the one before it has written."""
+"""From raw documents to packed sequences, in five stages; each takes what the one before it has written.
+
+Defined results. A null or empty text fails the base rules and goes. Rows are judged each by its own text, with or without a
+doc_id; rows that equal each other in all columns are judged alike, and of rows that share a doc_id the near-duplicate stage
+keeps one. Of equally good copies the smallest doc_id stays. Very long texts go through whole. Other columns, whatever their
+names, stay with their rows up to the last stage, but for names that begin with _tl_. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
