@@ -80,6 +80,29 @@ def test_run(spark, sf_dir):
     assert last["end"] == last["n"] > 0
 
 
+def test_odd_documents(spark, tmp_path):
+    """Clashing names, repeated rows, nulls in any column, and a text of a megabyte."""
+    rng = random.Random(6)
+    names = ("kept", "n_words", "size", "taken", "key", "class", "grp", "slot", "s", "n", "print", "start", "ids")
+    long = "\n".join(" ".join(f"word{rng.randrange(30_000)}" for _ in range(60)) for _ in range(2_000))
+    body = lambda: " ".join(f"word{rng.randrange(300)}" for _ in range(80))
+    rows = [(i, body(), "en", f"s{i % 3}", 7) for i in range(30)] + [(100, long, None, "s1", 1), (101, body(), "en", None, None), (None, body(), None, None, None), (102, None, "en", "s1", 0)]
+    rows += [rows[0], rows[0]]
+    frame = spark.createDataFrame(rows, DOCS).select("*", *(F.lit("x").alias(c) for c in names))
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == frame.columns
+        got = Counter(r["doc_id"] for r in docs.collect())
+        assert 102 not in got and {100, 101, None} <= set(got), name
+        if name == "near_dedup":
+            assert got == Counter({r[0]: 1 for r in rows if r[0] != 102})
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == set(got) and any(r["start"] > 100_000 for r in pieces)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
