@@ -198,17 +198,44 @@ def test_ledger(spark):
     assert (row["charged"], row["remaining"], row["completed"], row["unsettled"]) == (4, 16, 1, 0)
 
 
-def test_request_batches(spark):
-    rng = random.Random(2)
-    tokens = [rng.randrange(1, 60) for _ in range(50)]
-    got = cost.request_batches(spark.createDataFrame(list(enumerate(tokens)), "position long, tokens long"), 4, 100).orderBy("position").collect()
+@pytest.mark.parametrize(("count", "most_items", "most_tokens", "ranges"), [(50, 4, 100, 1), (300, 4, 100, 8), (300, 40, 900, 16), (60, 100, 10_000, 16), (200, 1, 5, 4), (120, 7, 30, 5)])
+def test_request_batches(spark, count, most_items, most_tokens, ranges):
+    rng = random.Random(count)
+    tokens = [rng.choice([0, rng.randrange(1, 60), 2 * most_tokens if rng.random() < 0.1 else 3]) for _ in range(count)]
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = cost.request_batches(spark.createDataFrame(list(enumerate(tokens)), "position long, tokens long"), most_items, most_tokens).orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
     want, batch, n, total = [], 0, 0, 0
     for t in tokens:
-        if n and (n == 4 or total + t > 100):
+        if n and (n == most_items or total + t > most_tokens):
             batch, n, total = batch + 1, 0, 0
         n, total = n + 1, total + t
         want.append(batch)
-    assert [r["batch"] for r in got] == want
+    assert [r["batch"] for r in got] == want and [r["tokens"] for r in got] == tokens
+
+
+def test_no_request_batches(spark):
+    assert cost.request_batches(spark.createDataFrame([], "position long, tokens long"), 4, 100).collect() == []
+    assert [tuple(r) for r in cost.request_batches(spark.createDataFrame([(7, None)], "position long, tokens long"), 4, 100).collect()] == [(7, 0, 0)]
+
+
+def test_token_window(spark):
+    rows = [("a", 0, 5), ("a", 59, 5), ("a", 60, 5), ("b", 60, 11)]
+    frame = spark.createDataFrame(rows, "client string, s int, tokens int").select("client", "s", F.timestamp_seconds("s").alias("at"), "tokens")
+    got = [(r["client"], r["s"], r["used"], r["fits"]) for r in cost.token_window(frame, 10).orderBy("client", "s").collect()]
+    assert got == [("a", 0, 5, True), ("a", 59, 10, True), ("a", 60, 10, True), ("b", 60, 11, False)]
+
+
+def test_work_has_bounds(spark):
+    sizes = {"leaf_categories": 2, "refined_per_category": 3, "most_refined": 0, "batch": 8, "embedding_tokens": 9, "profile_tokens": 9, "profile_reply": 9, "taxonomy_reply": 9, "synthesis_reply": 9}
+    none = spark.createDataFrame([(0, 0)], "items long, approximate_tokens long")
+    price = cost.Price(Decimal(1), Decimal(1))
+    row = cost.scheduled_plan(none, price, price, price, price, cost.Work(**sizes), Decimal(1)).first()
+    assert (row["refined_count"], row["profile_requests"], row["embedding_tokens"], row["structured_input_tokens"], row["fits"]) == (0, 0, 0, 2000 + 1400 + 3000 + 2200, True)
+    with pytest.raises(ValueError):
+        cost.Work(**sizes | {"batch": 0})
 
 
 def test_cached_embeddings(spark, tmp_path):
@@ -236,8 +263,12 @@ def test_evaluation(spark):
     overlaps = evaluate.jaccard(truth, found)
     best = {r["truth"]: (r["inferred"], r["matched"]) for r in evaluate.best_matches(overlaps).collect()}
     assert best == {"t1": ("p1", True), "t2": ("p2", True)}
-    assert evaluate.fragments(overlaps).first().asDict() == {"fragmented": 1, "merged": 1}
-    figures_row = spark.range(1).select(*(F.lit(v).alias(k) for k, v in {"timelines": 4, "matched": 4, "temporal": 5, "open_loops": 4, "dormant": 1, "reversals": 2, "connections": 4, "duplicate_names": 0, "generic_names": 0, "evidence_failures": 0}.items()))
+    # p2 shares members with both, but the best of t1 is p1: nothing is merged.
+    assert evaluate.fragments(overlaps).first().asDict() == {"fragmented": 1, "merged": 0}
+    both = spark.createDataFrame([("t1", "p", 0.3), ("t1", "q", 0.3), ("t2", "q", 0.12), ("t3", "q", 0.11)], "truth string, inferred string, overlap double")
+    known = spark.createDataFrame([("t1",), ("t2",), ("t3",), ("t4",)], "name string")
+    assert sorted(map(tuple, evaluate.verdicts(known, both).collect())) == [("fragmented", "t1"), ("merged", "q"), ("missed", "t2"), ("missed", "t3"), ("missed", "t4")]
+    figures_row = spark.range(1).select(*(F.lit(v).alias(k) for k, v in {"timelines": 4, "matched": 4, "temporal": 5, "open_loops": 4, "dormant": 1, "reversals": 2, "connections": 4, "duplicate_names": 0, "generic_names": 0, "evidence_failures": 0, "unsupported": 0}.items()))
     assert [r["condition"] for r in evaluate.acceptance(figures_row).where("not passed").collect()] == ["dormant"]
 
 

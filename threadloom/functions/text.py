@@ -147,3 +147,29 @@ def volume_label(day: Column, mode: str) -> Column:
 
 def approximate_tokens(characters: Column, per_token: int = 4) -> Column:
     return F.floor((characters + (per_token - 1)) / per_token).cast("long")
+
+
+def estimated_tokens(text: Column) -> Column:
+    """Three characters to a token: an estimate on the safe side, without a tokenizer."""
+    return approximate_tokens(F.length(text), 3)
+
+
+def bounded_text(text: Column, most_tokens: int) -> Column:
+    """What of a text an embedding request may hold, at three characters to a token."""
+    return F.substring(text, 1, 3 * most_tokens)
+
+
+def display_date(day: Column) -> Column:
+    return F.coalesce(F.date_format(day, "MMMM d, yyyy"), F.lit("Undated"))
+
+
+def month_label(day: Column) -> Column:
+    return F.coalesce(F.date_format(day, "MMM yyyy"), F.lit("Undated"))
+
+
+def date_range(first: Column, last: Column) -> Column:
+    """The months from `first` to `last`, as short as they can be; null without dates."""
+    end = F.date_format(last, "MMMM yyyy")
+    same_year = F.year(first) == F.year(last)
+    start = F.when(same_year, F.date_format(first, "MMMM")).otherwise(F.date_format(first, "MMMM yyyy"))
+    return F.when(same_year & (F.month(first) == F.month(last)), end).otherwise(F.concat(start, F.lit("–"), end))

@@ -29,12 +29,51 @@ def best_matches(overlaps: DataFrame) -> DataFrame:
     return overlaps.withColumn("_r", rank).where("_r = 1").select("truth", "inferred", "overlap", (F.col("overlap") >= MATCH).alias("matched"))
 
 
+def verdicts(known: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """verdict, name: known projects that are missed or fragmented, and inferred ones that merge several.
+
+    known: name. A known project is missed if no overlap reaches MATCH, and fragmented if several reach FRAGMENT. An inferred
+    one merges the known projects whose best overlap, from FRAGMENT on, is with it; of equal overlaps the last name counts.
+    """
+    per = overlaps.groupBy("truth").agg(F.max("overlap").alias("top"), F.count_if(F.col("overlap") >= FRAGMENT).alias("near"), F.max_by("inferred", F.struct("overlap", "inferred")).alias("best"))
+    met = known.select(F.col("name").alias("truth")).distinct().join(per, "truth", "left")
+    missed = met.where(F.coalesce("top", F.lit(0.0)) < MATCH).select(F.lit("missed").alias("verdict"), F.col("truth").alias("name"))
+    split = met.where("near > 1").select(F.lit("fragmented").alias("verdict"), F.col("truth").alias("name"))
+    merged = per.where(F.col("top") >= FRAGMENT).groupBy(F.col("best").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("merged").alias("verdict"), "name")
+    return missed.unionByName(split).unionByName(merged)
+
+
 def fragments(overlaps: DataFrame) -> DataFrame:
     """One row: known projects spread over several inferred ones, and inferred ones that merge several."""
-    near = overlaps.where(F.col("overlap") >= FRAGMENT)
-    split = near.groupBy("truth").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("fragmented"))
-    merged = near.groupBy("inferred").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("merged"))
-    return split.join(merged)  # one row each
+    found = verdicts(overlaps.select(F.col("truth").alias("name")), overlaps)
+    return found.agg(F.count_if(F.col("verdict") == "fragmented").alias("fragmented"), F.count_if(F.col("verdict") == "merged").alias("merged"))
+
+
+def key_differences(expected: DataFrame, given: DataFrame) -> DataFrame:
+    """key, problem: keys that are missing, unexpected or repeated in `given`; none if both hold the same keys. Both: key."""
+    counts = expected.select("key", F.lit(1).alias("e"), F.lit(0).alias("g")).unionByName(given.select("key", F.lit(0).alias("e"), F.lit(1).alias("g"))).groupBy("key").agg(F.sum("e").alias("e"), F.sum("g").alias("g"))
+    problem = F.when(F.col("g") == 0, "missing").when(F.col("e") == 0, "unexpected").when(F.col("g") > 1, "repeated")
+    return counts.select("key", problem.alias("problem")).where("problem is not null")
+
+
+#: Fixed values. Words that say nothing about a category.
+GENERIC = ("analysis", "design", "review", "conversation", "project", "result", "using")
+
+
+def duplicate_names(categories: DataFrame) -> DataFrame:
+    """Names that several leaf categories have, but for case and blanks at the ends. categories: name."""
+    return categories.groupBy(F.trim(F.lower("name")).alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+
+
+def generic_terms(concepts: DataFrame) -> DataFrame:
+    """GENERIC words that define at least two categories: term, n. concepts: category, term."""
+    term = F.lower("term")
+    return concepts.where(term.isin(*GENERIC)).groupBy(term.alias("term")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+def missed_milestones(milestones: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Milestones that no timeline's evidence holds. Both: key."""
+    return milestones.join(evidence.select("key").distinct(), "key", "left_anti").select("key")
 
 
 def evidence_failures(evidence: DataFrame, known: DataFrame) -> DataFrame:
@@ -58,6 +97,7 @@ def acceptance(figures: DataFrame) -> DataFrame:
         "duplicate_names": F.col("duplicate_names") == 0,
         "generic_names": F.col("generic_names") == 0,
         "evidence_failures": F.col("evidence_failures") == 0,
+        "unsupported": F.col("unsupported") == 0,
     }
     rows = F.array(*(F.struct(F.lit(k).alias("condition"), v.alias("passed")) for k, v in conditions.items()))
     return figures.select(F.explode(rows).alias("c")).select("c.condition", "c.passed")

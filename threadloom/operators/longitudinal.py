@@ -156,3 +156,14 @@ def stratified(profiles: DataFrame, group: str, limit: int) -> DataFrame:
     order = F.when(F.col("_sure") <= sure, F.lit(0)).when(F.array_contains(spots, F.col("_place")), F.lit(1)).otherwise(F.lit(2))
     take = F.row_number().over(by.orderBy(order, F.when(order == 2, -F.col("_place")).otherwise(F.col("_place"))))
     return rows.withColumn("_take", take).where(F.col("_take") <= limit).drop("_sure", "_place", "_n", "_take")
+
+
+def project_evidence(members: DataFrame, most: int = 24, each: int = 10) -> DataFrame:
+    """The members that a remote model is shown of each large project, chosen as `stratified` does, with its `occurrences`.
+
+    Large are the `most` projects with the most members, two at least; of equal ones those that come first by position.
+    members: project, key, confidence, at, position.
+    """
+    often = members.groupBy("project").agg(F.count(F.lit(1)).alias("occurrences"), F.min("position").alias("_first"))
+    often = often.orderBy(F.desc("occurrences"), "_first", "project").limit(most).where("occurrences >= 2").drop("_first")
+    return stratified(members.join(often, "project"), "project", each)

@@ -57,6 +57,47 @@ def warning_diagnostics(warnings: DataFrame) -> DataFrame:
     return warnings.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conversation_id").alias("conversations"))
 
 
+#: Fixed values. What a warning about stated edges counts.
+EDGE_COUNTS = ("nodes_with_differences", "missing_source_edges", "conflicting_source_edges", "dangling_source_edges", "duplicate_source_edges")
+
+
+def diagnostics(warnings: DataFrame) -> DataFrame:
+    """section, name, n: warnings by code and severity, conversations by code, unknown content types, edge totals, suppressed details.
+
+    warnings: code, severity, conversation_id, context (JSON). One pass: each warning adds to a few counters, which are
+    summed before they move; only distinct conversations need a shuffle of their own.
+    """
+    field = lambda name: F.get_json_object("context", f"$.{name}")
+    entry = lambda section, name, n: F.struct(F.lit(section).alias("section"), name.alias("name"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
+    one, code = F.lit(1), F.col("code")
+    edges = [F.when(code == "source_child_edges_disagree", entry("source_child_edge_totals", F.lit(c), F.try_to_number(field(c), F.lit("S999999999999")))) for c in EDGE_COUNTS]
+    unknown = F.when(code == "unknown_content_type", entry("unknown_content_types", F.coalesce(field("content_type"), F.lit("None")), one))
+    suppressed = entry("suppressed_count", F.lit("all"), F.when(code == "warnings_suppressed", F.try_to_number(field("suppressed_count"), F.lit("S999999999999"))))
+    counters = F.array_compact(F.array(entry("warning_count", F.lit("all"), one), entry("warnings_by_code", code, one), entry("warnings_by_severity", F.col("severity"), one), unknown, suppressed, *edges))
+    sums = warnings.select(F.explode(counters).alias("c")).groupBy("c.section", "c.name").agg(F.sum("c.n").alias("n"))
+    affected = warnings.groupBy(code.alias("name")).agg(F.countDistinct("conversation_id").alias("n"))
+    return sums.unionByName(affected.select(F.lit("affected_conversations_by_code").alias("section"), "name", "n"))
+
+
+def date_ranges(items: DataFrame, group: str) -> DataFrame:
+    """group, dates: the months that a group's dated conversations span."""
+    return items.groupBy(group).agg(T.date_range(F.min(date_of()), F.max(date_of())).alias("dates"))
+
+
+#: Fixed values. Block types that hold a model's reasoning.
+REASONING = ("thinking_trace", "reasoning_summary")
+
+
+def shown_blocks(blocks: DataFrame, system: bool = False, tools: bool = False, reasoning: bool = False) -> DataFrame:
+    """The blocks that volumes print: of users and assistants, on request of others, and of reasoning. blocks: role, block_type.
+
+    A message without any such block isn't printed.
+    """
+    roles = ["user", "assistant", *(["system", "developer"] if system else []), *(["tool"] if tools else [])]
+    kept = blocks.where(F.col("role").isin(*roles))
+    return kept if reasoning else kept.where(~F.col("block_type").isin(*REASONING))
+
+
 def duplicate_ids(conversations: DataFrame) -> DataFrame:
     """The second and later conversations of an id, in archive order."""
     place = F.row_number().over(Window.partitionBy("conversation_id").orderBy("source_index"))

@@ -238,11 +238,7 @@ SELECT page_id, path, CASE WHEN regexp_matches(path, '(^|/)[Cc]onversations[^/]*
   CASE WHEN size_bytes >= 1000 AND (compressed = 0 OR size_bytes * 1.0 / compressed > 4) THEN 'suspicious_compression_ratio' END], lambda x: x IS NOT NULL), '|') AS codes FROM m"""
 
 
-@query(_MEMBERS)
-def member_findings(spark, sf_dir):
-    from threadloom.schema import Limits
-    from threadloom.sources import zip_export
-
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, n = F.col("page_id"), F.length("html").cast("long")
     k = p % 10
     name = p.cast("string")
@@ -250,12 +246,19 @@ def member_findings(spark, sf_dir):
         F.when(k == 0, F.concat(F.lit("../up/"), name)).when(k == 1, "Dir/a.JSON").when(k == 2, F.concat(F.lit("conversations-"), name, F.lit(".json"))).when(k == 3, "x/conversations.json")
         .when(k == 4, F.concat(F.lit("c:/"), name)).when(k == 5, F.concat(F.lit("a\\"), name)).otherwise(F.concat(F.lit("media/"), name, F.lit(".png")))
     )
-    rows = X.read(spark, sf_dir, "pages").select(
+    return X.read(spark, sf_dir, "pages").select(
         p, (p % 3).cast("string").alias("archive"), path.alias("path"), n.alias("size_bytes"), F.when(p % 7 == 0, F.lit(0)).otherwise(F.floor(n / (1 + p % 5))).cast("long").alias("compressed_size_bytes"),
         F.when(p % 13 == 0, 1).otherwise(0).alias("flag_bits"), F.when(p % 17 == 0, 0o120777).otherwise(0o100644).alias("unix_mode"), F.lit(False).alias("is_directory"),
     )
+
+
+@query(_MEMBERS)
+def member_findings(spark, sf_dir):
+    from threadloom.schema import Limits
+    from threadloom.sources import zip_export
+
     limits = Limits(max_member_uncompressed_bytes=5000, min_ratio_check_bytes=1000, max_compression_ratio=4.0)
-    return zip_export.findings(rows, limits).select("page_id", "path", "detected_kind", "codes")
+    return zip_export.findings(_members(spark, sf_dir), limits).select("page_id", "path", "detected_kind", "codes")
 
 
 @query("""SELECT conv_id AS source_index, 'conv-' || conv_id AS conversation_id, count(*) + 1 AS nodes, count(*) + 1 AS on_path, count(*) FILTER (role = 'user') AS user_messages, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY conv_id""")

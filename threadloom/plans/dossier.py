@@ -9,17 +9,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.operators import figures, longitudinal, simgraph, stats
 from threadloom.sources import archive_json
 
 
-def preflight(files: DataFrame) -> dict:
-    """Members, whether any is named like a conversation payload, and the codes found. files: zip_export.findings()."""
+def preflight_summary(files: DataFrame) -> DataFrame:
+    """One row: members, whether any is named like a conversation payload, and the codes found. files: zip_export.findings()."""
     base = F.lower(F.element_at(F.split("path", "/"), -1))
-    row = files.agg(F.count(F.lit(1)).alias("member_count"), F.coalesce(F.bool_or(F.startswith(base, F.lit("conversations"))), F.lit(False)).alias("has_conversations"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes")).first()
-    return row.asDict()
+    codes = F.array_sort(F.array_distinct(F.flatten(F.collect_set("codes"))))
+    return files.agg(F.count(F.lit(1)).alias("member_count"), F.coalesce(F.bool_or(F.startswith(base, F.lit("conversations"))), F.lit(False)).alias("has_conversations"), codes.alias("codes"))
+
+
+def preflight(files: DataFrame) -> dict:
+    return preflight_summary(files).first().asDict()
 
 
 def figure_data(relations: dict[str, DataFrame], anonymous: bool = False) -> dict[str, DataFrame]:
@@ -51,12 +54,10 @@ def evidence(relations: dict[str, DataFrame], leaf: int = 12, domain: int = 6, p
     placed = made.join(relations["membership"].select("key", "category"), "key")
     parent = relations["domain"].select("parent_id", F.explode("children").alias("category"))
     members = longitudinal.project_members(made)
-    often = members.groupBy("project").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.desc("n"), "project").limit(projects)
-    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.col("at").asc_nulls_last(), "key"))
     return {
         "categories": longitudinal.stratified(placed, "category", leaf),
         "domains": longitudinal.stratified(placed.join(parent, "category"), "parent_id", domain),
-        "projects": members.join(often.select("project"), "project").withColumn("rank", rank).where("rank <= 10"),
+        "projects": longitudinal.project_evidence(members, projects),
     }
 
 

@@ -100,13 +100,10 @@ def compile_volumes(frames: dict, folder: str | Path, options: VolumeOptions = V
     out = Path(folder)
     rules = render.compile_rules(options.redactions)
     archive_json.write_json(out / "analysis.json", analysis(frames))
-    roles = ["user", "assistant", *(["system", "developer"] if options.include_system else []), *(["tool"] if options.include_tools else [])]
     talks = frames["conversation"].withColumn("label", T.volume_label(stats.date_of(), options.mode)).withColumn("_at", stats.date_of())
     if options.max_conversations is not None:
         talks = talks.orderBy(F.col("_at").asc_nulls_last(), "source_path", F.coalesce("conversation_id", F.lit(""))).limit(options.max_conversations)
-    reasoning = F.col("block_type").isin("thinking_trace", "reasoning_summary")
-    blocks = path_blocks(frames).where(F.col("role").isin(*roles))
-    shown = blocks if options.include_reasoning else blocks.where(~reasoning)
+    shown = stats.shown_blocks(path_blocks(frames), options.include_system, options.include_tools, options.include_reasoning)
     messages = shown.groupBy("source_index", "path_pos", "role").agg(F.array_sort(F.collect_list(F.struct("block_pos", F.col("block_type").alias("type"), "text", "reference", "language"))).alias("blocks"))
     whole = messages.groupBy("source_index").agg(F.array_sort(F.collect_list(F.struct("path_pos", "role", "blocks"))).alias("messages"))
     rows = talks.join(whole, "source_index", "left").select("label", "title", F.date_format("_at", "yyyy-MM-dd").alias("day"), "_at", "source_path", F.coalesce("conversation_id", F.lit("")).alias("cid"), "messages")
