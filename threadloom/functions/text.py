@@ -64,9 +64,15 @@ def contains_any(lowered: Column, markers: Sequence[str]) -> Column:
     return found
 
 
-def marked_sentences(text: Column, markers: Sequence[str], limit: int = 4) -> Column:
-    """The first sentences that contain a marker."""
-    return F.slice(F.filter(sentences(text), lambda s: contains_any(F.lower(s), markers)), 1, limit)
+def told(text: Column) -> Column:
+    """The sentences of a text with their lower-case forms: settled once where several lists are drawn from them."""
+    return F.transform(sentences(text), lambda s: F.struct(s.alias("said"), F.lower(s).alias("lowered")))
+
+
+def marked(told_sentences: Column, markers: Sequence[str], limit: int = 4) -> Column:
+    """The first sentences that contain a marker, of what `told` gives."""
+    found = F.slice(F.filter(told_sentences, lambda s: contains_any(s["lowered"], markers)), 1, limit)
+    return F.transform(found, lambda s: s["said"])
 
 
 def first_group(text: Column, groups: Sequence[tuple[str, Sequence[str]]], default: str | None) -> Column:

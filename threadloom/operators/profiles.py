@@ -15,10 +15,18 @@ def token_counts(items: DataFrame, key: str, terms) -> DataFrame:
     return items.select(key, F.posexplode(terms).alias("pos", "token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
 
 
+def dealt(items: DataFrame, key: str) -> DataFrame:
+    """Items by key, each in one partition: counts of their terms and joins by key then need no exchange.
+
+    A text moves once; its terms, each with the key, would be several times as large.
+    """
+    return items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def keywords(items: DataFrame, key: str, terms, k: int = 12) -> DataFrame:
     """The k most frequent tokens of each item, ties by first occurrence: key, keywords."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
-    top = token_counts(items, key, terms).withColumn("rank", rank).where(F.col("rank") <= k)
+    top = token_counts(dealt(items, key), key, terms).withColumn("rank", rank).where(F.col("rank") <= k)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "token")))
     return top.groupBy(key).agg(F.transform(ordered, lambda x: x["token"]).alias("keywords"))
 
@@ -43,9 +51,9 @@ def profiles(items: DataFrame, batch_size: int | None = 8) -> DataFrame:
     common = recurring_handles(rows, batch_size).groupBy("batch").agg(F.collect_set("handle").alias("recurring"))
     batch = F.lit(0).cast("long") if batch_size is None else F.floor((F.col("position") - 1) / batch_size)
     found = keywords(rows, "conversation_key", T.tokens(F.concat_ws(" ", "title", "title", "text")))
-    rows = rows.withColumn("batch", batch).join(common, "batch", "left").join(found, "conversation_key", "left")
+    rows = dealt(rows, "conversation_key").join(found, "conversation_key", "left").withColumn("batch", batch).join(common, "batch", "left")
     empty = F.array().cast("array<string>")
-    rows = rows.withColumns({"recurring": F.coalesce("recurring", empty), "keywords": F.coalesce("keywords", empty), "_handles": T.handles(F.col("whole")), "_title": T.tokens(F.col("title"))})
+    rows = rows.withColumns({"recurring": F.coalesce("recurring", empty), "keywords": F.coalesce("keywords", empty), "_handles": T.handles(F.col("whole")), "_title": T.tokens(F.col("title")), "_told": T.told(F.col("text"))})
     own = lambda h: F.contains(h, F.lit("-")) & ~F.contains(h, F.lit(".")) & (F.size(F.filter("_handles", lambda x: x == h)) >= 2)
     projects = F.slice(F.filter(F.array_distinct("_handles"), lambda h: F.array_contains("recurring", h) | own(h)), 1, 2)
     named = lambda words: F.transform(words, lambda w: T.label(F.array(w), w))
@@ -59,9 +67,9 @@ def profiles(items: DataFrame, batch_size: int | None = 8) -> DataFrame:
         named(projects).alias("projects"),
         T.conversation_type(F.col("text")).alias("conversation_type"),
         named(F.slice("keywords", 1, 6)).alias("entities"),
-        T.marked_sentences(F.col("text"), V.GOAL_MARKERS, 3).alias("goals"),
-        T.marked_sentences(F.col("text"), V.DECISION_MARKERS).alias("decisions"),
-        T.marked_sentences(F.col("text"), V.QUESTION_MARKERS).alias("unresolved_questions"),
+        T.marked(F.col("_told"), V.GOAL_MARKERS, 3).alias("goals"),
+        T.marked(F.col("_told"), V.DECISION_MARKERS).alias("decisions"),
+        T.marked(F.col("_told"), V.QUESTION_MARKERS).alias("unresolved_questions"),
         named(F.slice("keywords", 9, 4)).alias("recurring_themes"),
         T.temporal_role(F.col("text")).alias("temporal_role"),
         F.lit(0.5).alias("confidence"),

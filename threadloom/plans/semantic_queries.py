@@ -72,8 +72,8 @@ def sentence_split(spark, sf_dir):
 
 @query(_ITEMS + f"SELECT key AS conversation_key, {_marked(V.DECISION_MARKERS)} AS decisions, {_marked(V.QUESTION_MARKERS)} AS questions, {_marked(V.GOAL_MARKERS, 3)} AS goals FROM sents")
 def marker_sentences(spark, sf_dir):
-    text = F.col("text")
-    return X.items(spark, sf_dir).select("conversation_key", T.marked_sentences(text, V.DECISION_MARKERS).alias("decisions"), T.marked_sentences(text, V.QUESTION_MARKERS).alias("questions"), T.marked_sentences(text, V.GOAL_MARKERS, 3).alias("goals"))
+    rows, said = X.items(spark, sf_dir).select("conversation_key", T.told(F.col("text")).alias("told")), F.col("told")
+    return rows.select("conversation_key", T.marked(said, V.DECISION_MARKERS).alias("decisions"), T.marked(said, V.QUESTION_MARKERS).alias("questions"), T.marked(said, V.GOAL_MARKERS, 3).alias("goals"))
 
 
 @query(_ITEMS + f"SELECT key AS conversation_key, {_first('lower(text)', V.CONVERSATION_TYPES, chr(39) + V.DEFAULT_TYPE + chr(39))} AS conversation_type, {_first('lower(text)', V.TEMPORAL_ROLES, 'NULL')} AS temporal_role FROM items")
