@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from threadloom.operators.order import running
+from threadloom.plans.session import settled
 
 
 def period_pivot(rows: DataFrame, period, value: str, most: int = 8) -> DataFrame:
@@ -36,9 +38,10 @@ def marker_size(messages, evidence):
 
 def aliases(names: DataFrame, name: str) -> DataFrame:
     """name, alias: Project A, B, ... by name; after Z the numbers go on."""
-    place = F.row_number().over(Window.orderBy(name))
+    placed = running(names.select(name).distinct(), [name], settled)
+    place = F.col("place") + 1
     letter = F.when(place <= 26, F.char(64 + place)).otherwise(place.cast("string"))
-    return names.select(name).distinct().select(name, F.concat(F.lit("Project "), letter).alias("alias"))
+    return placed.select(name, F.concat(F.lit("Project "), letter).alias("alias"))
 
 
 def open_work(timelines: DataFrame, questions: str = "unresolved") -> DataFrame:

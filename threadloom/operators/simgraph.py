@@ -99,8 +99,8 @@ def bucket_candidates(vectors: DataFrame, dimensions: int = 12, max_neighbors: i
     # Fewer than `wanted` of these are mates, so enough are left.
     offsets = np.arange(1, min(n - 1, 2 * wanted) + 1, dtype=np.int64)
     blocks = -(-n // BLOCK)
-    # The order is global by definition; keys only are ranked.
-    placed = vectors.join(keys.withColumn("place", (F.row_number().over(Window.orderBy("key")) - 1).cast("long")), "key")
+    # The order is global by definition; keys only are ranked, range by range.
+    placed = vectors.join(running(keys, ["key"], settled).select("key", F.col("place").cast("long").alias("place")), "key")
     dealt = placed.select("key", "place", F.col("vector").cast("array<double>").alias("vector"), (F.col("place") % blocks).cast("int").alias("own"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select("key", "place", "vector", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))

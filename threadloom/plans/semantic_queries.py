@@ -14,6 +14,7 @@ from threadloom.functions import vocabulary as V
 from threadloom.operators import book, cost, evaluate, figures, longitudinal, profiles, simgraph, stats, taxonomy
 from threadloom.plans import fixtures as X
 from threadloom.plans.registry import query
+from threadloom.plans.session import settled
 
 
 def _list(words) -> str:
@@ -45,8 +46,12 @@ hands AS (SELECT key, position, list_distinct(list_transform(regexp_extract_all(
 """
 
 
+def _told(markers, limit: int = 4) -> str:
+    return f"list_filter(s, lambda x: {_any('lower(x)', markers)})[1:{limit}]"
+
+
 def _marked(markers, limit: int = 4) -> str:
-    return f"array_to_string(list_filter(s, lambda x: {_any('lower(x)', markers)})[1:{limit}], '|')"
+    return f"array_to_string({_told(markers, limit)}, '|')"
 
 
 @query(_ITEMS + "SELECT lang, token, count(*) AS n FROM flat GROUP BY ALL")
@@ -111,7 +116,32 @@ def domains(spark, sf_dir):
     return X.items(spark, sf_dir).select("conversation_key", T.domain(T.tokens(F.col("text"))).alias("domain"))
 
 
-@query()
+def _named(words: str) -> str:
+    """The words of a list, each as a label."""
+    return f"list_transform({words}, lambda w: array_to_string(list_transform(regexp_extract_all(replace(w, '_', ' '), '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1]) || lower(p[2:])), ''))"
+
+
+_PROFILES = _ITEMS + f""", terms AS (SELECT key, list_filter(list_transform(regexp_extract_all(title || ' ' || title || ' ' || text, '{V.TOKEN}'), lambda x: lower(x)), lambda x: NOT list_contains({_list(V.STOPWORDS)}, x)) AS t,
+  list_filter(list_transform(regexp_extract_all(title, '{V.TOKEN}'), lambda x: lower(x)), lambda x: NOT list_contains({_list(V.STOPWORDS)}, x)) AS own FROM items),
+spread AS (SELECT key, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM terms),
+best AS (SELECT key, token, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(pos)) AS r FROM spread GROUP BY key, token),
+kw AS (SELECT key, list(token ORDER BY r) AS k FROM best WHERE r <= 12 GROUP BY key),
+found AS (SELECT key, (position - 1) // 8 AS batch, list_transform(regexp_extract_all(' ' || regexp_replace(title || ' ' || text, '[^\\x00-\\x7F]', 'Q', 'g'), '{V.HANDLE}'), lambda x: lower(x)) AS h FROM items),
+one AS (SELECT key, batch, h, min(pos) AS pos, count(*) AS n FROM (SELECT key, batch, unnest(h) AS h, generate_subscripts(h, 1) AS pos FROM found) GROUP BY ALL),
+sizes AS (SELECT batch, count(*) AS size FROM found GROUP BY 1),
+often AS (SELECT batch, h FROM one JOIN sizes USING (batch) GROUP BY batch, h, size HAVING count(*) >= 3 AND count(*) <= greatest(3, floor(size * 0.45))),
+projects AS (SELECT key, list(h ORDER BY pos)[1:2] AS p FROM (SELECT one.*, often.h IS NOT NULL AS often FROM one LEFT JOIN often USING (batch, h)) WHERE often OR (contains(h, '-') AND NOT contains(h, '.') AND n >= 2) GROUP BY 1),
+made AS (SELECT key, position, regexp_replace(trim(text), '\\s+', ' ', 'g') AS c, title, s, CASE WHEN len(own) > 0 THEN own[1:3] ELSE coalesce(k, [])[1:3] END AS top, coalesce(k, []) AS k, coalesce(p, []) AS p, text
+  FROM items JOIN terms USING (key) JOIN sents USING (key) LEFT JOIN kw USING (key) LEFT JOIN projects USING (key)),
+profile AS (SELECT key AS conversation_key, position, CASE WHEN length(c) > 360 THEN rtrim(substr(c, 1, 360)) || '…' WHEN c = '' THEN 'Conversation titled ' || chr(39) || title || chr(39) || '.' ELSE c END AS synopsis,
+  CASE WHEN len(top) = 0 THEN 'General conversation' ELSE array_to_string({_named('top')}, ' · ') END AS primary_subject, {_named('k[4:8]')} AS secondary_subjects, {_named('p')} AS projects,
+  {_first('lower(text)', V.CONVERSATION_TYPES, chr(39) + V.DEFAULT_TYPE + chr(39))} AS conversation_type, {_named('k[1:6]')} AS entities, {_told(V.GOAL_MARKERS, 3)} AS goals, {_told(V.DECISION_MARKERS)} AS decisions,
+  {_told(V.QUESTION_MARKERS)} AS unresolved_questions, {_named('k[9:12]')} AS recurring_themes, {_first('lower(text)', V.TEMPORAL_ROLES, 'NULL')} AS temporal_role, 0.5::DOUBLE AS confidence FROM made)
+"""
+_JOINED = ", ".join(f"array_to_string({c}, '|') AS {c}" for c in ("secondary_subjects", "projects", "entities", "goals", "decisions", "unresolved_questions", "recurring_themes"))
+
+
+@query(_PROFILES + f"SELECT * REPLACE ({_JOINED}) FROM profile")
 def conversation_profiles(spark, sf_dir):
     return profiles.profiles(X.items(spark, sf_dir))
 
@@ -549,10 +579,23 @@ def marker_sizes(spark, sf_dir):
     return X.read(spark, sf_dir, "documents").select("doc_id", figures.marker_size(F.col("doc_id") % 13, F.col("n_chars") % 9).alias("size"))
 
 
-@query()
+@query(_PROFILES + """, named AS (SELECT conversation_key AS key, position, unnest(projects) AS v, generate_subscripts(projects, 1) AS pos FROM profile),
+member AS (SELECT v AS project, moment FROM named JOIN items USING (key)),
+heard AS (
+  SELECT 'cross_domain_connections' AS section, projects[1] || ' connects with ' || projects[2] || ' through shared evidence in ' || primary_subject || '.' AS value, position, 1 AS pos FROM profile WHERE len(projects) > 1 AND projects[1] <> projects[2]
+  UNION ALL SELECT 'recurring_projects', v, position, pos FROM named WHERE v IN (SELECT project FROM member GROUP BY 1 HAVING count(*) >= 3)
+  UNION ALL SELECT 'tensions_and_reversals', unnest(d), position, generate_subscripts(d, 1) FROM (SELECT position, CASE WHEN len(decisions) > 0 THEN decisions ELSE [synopsis] END AS d FROM profile WHERE temporal_role = 'reversal or reframing')
+  UNION ALL SELECT 'opportunities', unnest(unresolved_questions), position, generate_subscripts(unresolved_questions, 1) FROM profile),
+firsts AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY min(position * 100 + pos)) AS rank, value FROM heard GROUP BY section, value),
+themes AS (SELECT v, count(*) AS n, min(position * 100 + pos) AS f FROM (SELECT position, unnest(recurring_themes) AS v, generate_subscripts(recurring_themes, 1) AS pos FROM profile) GROUP BY 1),
+silent AS (SELECT project FROM (SELECT project, moment - lag(moment) OVER (PARTITION BY project ORDER BY moment) AS gap FROM member WHERE moment IS NOT NULL) GROUP BY 1 HAVING max(gap) >= INTERVAL 75 DAY)
+SELECT section, rank, value FROM firsts WHERE rank <= CASE section WHEN 'recurring_projects' THEN 6 ELSE 12 END
+UNION ALL SELECT 'recurring_themes', row_number() OVER (ORDER BY n DESC, f) AS rank, v FROM themes QUALIFY rank <= 6
+UNION ALL SELECT 'temporal_evolution', row_number() OVER (ORDER BY profile.position) AS rank, title || ': ' || temporal_role || '.' FROM profile JOIN items ON key = conversation_key WHERE temporal_role IS NOT NULL QUALIFY rank <= 12
+UNION ALL SELECT 'dormant_threads', row_number() OVER (ORDER BY project) AS rank, project || ' contains a dormant interval followed by renewed activity.' FROM silent QUALIFY rank <= 12""")
 def archive_synthesis(spark, sf_dir):
     items = X.items(spark, sf_dir)
-    made = profiles.profiles(items)
+    made = settled(profiles.profiles(items))
     members = longitudinal.project_members(made).join(items.select("conversation_key", stats.date_of().alias("at")), "conversation_key").select("project", F.col("conversation_key").alias("key"), "at")
     return longitudinal.synthesis(made, members, items.select(F.col("conversation_key").alias("key"), "title"))
 

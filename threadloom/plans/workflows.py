@@ -15,6 +15,7 @@ from threadloom import schema as S
 from threadloom.functions import text as T
 from threadloom.operators import book, longitudinal, represent, safety, simgraph, stats, taxonomy
 from threadloom.operators import profiles as P
+from threadloom.operators.order import running
 from threadloom.plans import providers
 from threadloom.plans.session import settled
 from threadloom.sources import archive_json, manifests, normalize, render, zip_export
@@ -74,10 +75,7 @@ def safe_frames(frames: dict) -> tuple[dict, DataFrame]:
     decisions = settled(safety.classify(talks.select("source_index", text.alias("safety_text"))))
     kept = {k: safety.included(frames[k], decisions) for k in ("conversation", "node", "message", "block")}
     # Positions, and with them keys, are those of the archive that is handed on: ranks over slim rows.
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.orderBy("source_index")) - 1
-    moved = settled(kept["conversation"].select("source_index").withColumn("_new", place.cast("long")))
+    moved = running(kept["conversation"].select("source_index"), ["source_index"], settled).select("source_index", F.col("place").cast("long").alias("_new"))
     shifted = {k: v.join(moved, "source_index").drop("source_index").withColumnRenamed("_new", "source_index") for k, v in kept.items()}
     return frames | shifted, decisions
 
