@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 from collections import defaultdict
@@ -107,6 +108,30 @@ def test_groups_of_centroids():
     assert simgraph.farthest_first(points[:2], 3) == [[0], [1]]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_average_linkage_against_brute_force(seed, monkeypatch):
+    points = np.random.default_rng(seed).normal(size=(24, 5))
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    for count in (1, 2, 7, 24):
+        groups = [[i] for i in range(len(points))]
+        while len(groups) > count:
+            a, b = min(((a, b) for b in range(len(groups)) for a in range(b)), key=lambda x: apart[np.ix_(groups[x[0]], groups[x[1]])].mean())
+            groups[a] += groups.pop(b)
+        assert sorted(simgraph.average_linkage(points, count)) == sorted(map(sorted, groups))
+    monkeypatch.setattr(simgraph, "MOST_LINKED", 23)
+    with pytest.raises(ValueError):
+        simgraph.average_linkage(points, 2)
+
+
+@pytest.mark.parametrize("method", ["farthest_first", "average"])
+def test_consolidation(spark, method):
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i:02d}", (np.eye(6)[i % 6] + (0.5 * np.eye(6)[(i % 6) // 2 * 2]) + rng.normal(0, 0.01, 6)).tolist(), f"c{i % 6}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "key string, vector array<double>, category string")
+    got = simgraph.consolidate(frame.select("key", "vector"), frame.select("key", "category"), 3, method).collect()
+    assert {(r["key"], r["category"], r["source_communities"]) for r in got} == {(f"k{i:02d}", f"category-{(i % 6) // 2 + 1:04d}", 2) for i in range(30)}
+
+
 def test_neighbours_across_blocks(spark, monkeypatch):
     rows = [(f"k{i:02d}", v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(30, 6)))]
     frame = spark.createDataFrame(rows, "key string, vector array<double>")
@@ -152,6 +177,19 @@ def test_hash_embedding(spark):
     assert np.isclose(np.linalg.norm(got["a"]), 1) and not got["b"].any() and (got["a"] == got["c"]).all() and len(got["a"]) == 64
 
 
+def test_hash_embedding_against_brute_force(spark):
+    """Every vector of the smallest table, feature by feature."""
+    rows = X.items(spark, "/root/testdata/sf0.001").select("conversation_key", "title", "text", T.tokens(F.col("title")).alias("own"), T.tokens(F.col("text")).alias("said"))
+    got = {r["key"]: np.array(r["vector"]) for r in vectors.hash_embeddings(rows, "conversation_key", F.col("title"), F.col("text"), 128).collect()}
+    assert len(got) == rows.count() > 100
+    for r in rows.collect():
+        want = np.zeros(128)
+        for feature in [*r["own"], *r["own"], *r["said"], *(f"{a}::{b}" for a, b in zip(r["said"], r["said"][1:]))]:
+            digest = hashlib.blake2b(feature.encode(), digest_size=16).digest()
+            want[int.from_bytes(digest[:8], "big") % 128] += 1 if digest[8] & 1 else -1
+        assert np.allclose(got[r["conversation_key"]], want / (np.linalg.norm(want) or 1))
+
+
 def test_names_stay_unique(spark):
     drafts = spark.createDataFrame([("c1", ["A", "B", "C"]), ("c2", ["a", "b", "D"]), ("c3", ["A", "B"]), ("c4", [])], "category string, labels array<string>")
     got = {r["category"]: r["name"] for r in taxonomy.interpret(drafts).collect()}

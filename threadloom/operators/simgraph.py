@@ -262,6 +262,8 @@ def centroids(vectors: DataFrame, membership: DataFrame) -> DataFrame:
 
 #: Communities whose centroids the driver gathers to consolidate them; more are an error, not a silent cut.
 MOST_COMMUNITIES = 100_000
+#: Average linkage holds a distance for each pair on the driver: 128 MB at this bound.
+MOST_LINKED = 4_000
 
 
 def farthest_first(points: np.ndarray, count: int) -> list[list[int]]:
@@ -284,22 +286,40 @@ def farthest_first(points: np.ndarray, count: int) -> list[list[int]]:
 
 
 def average_linkage(points: np.ndarray, count: int) -> list[list[int]]:
-    """Agglomerative groups by mean Euclidean distance; the closest two merge until `count` are left."""
-    groups = [[i] for i in range(len(points))]
-    apart = np.sqrt(np.maximum(((points[:, None] - points[None]) ** 2).sum(axis=2), 0))
+    """Agglomerative groups by mean Euclidean distance; the closest two merge until `count` are left, ties by place.
+
+    One matrix of distances is held; each row remembers its nearest, so a merge looks at few rows again.
+    """
+    if len(points) > MOST_LINKED:
+        raise ValueError(f"{len(points)} communities; average linkage takes at most {MOST_LINKED}")
+    n = len(points)
+    squares = (points * points).sum(axis=1)
+    apart = points @ points.T
+    apart *= -2.0
+    apart += squares[:, None]
+    apart += squares
+    np.sqrt(np.maximum(apart, 0, out=apart), out=apart)
     np.fill_diagonal(apart, math.inf)
-    sizes, alive = np.ones(len(points)), list(range(len(points)))
-    while len(alive) > count:
-        sub = apart[np.ix_(alive, alive)]
-        a, b = sorted(divmod(int(np.argmin(sub)), len(alive)))
-        i, j = alive[a], alive[b]
-        merged = (apart[i] * sizes[i] + apart[j] * sizes[j]) / (sizes[i] + sizes[j])
-        apart[i], apart[:, i] = merged, merged
-        apart[i, i] = math.inf
-        sizes[i] += sizes[j]
-        groups[i] = groups[i] + groups[j]
-        alive.pop(b)
-    return [sorted(groups[i]) for i in alive]
+    groups, sizes = [[i] for i in range(n)], np.ones(n)
+    nearest = apart.argmin(axis=1) if n else np.empty(0, np.int64)
+    reach = apart[np.arange(n), nearest]
+    for _ in range(n - count):
+        i = int(np.argmin(reach))
+        a, b = sorted((i, int(nearest[i])))
+        merged = (apart[a] * sizes[a] + apart[b] * sizes[b]) / (sizes[a] + sizes[b])
+        merged[[a, b]] = math.inf
+        apart[a], apart[:, a] = merged, merged
+        apart[b], apart[:, b] = math.inf, math.inf
+        sizes[a] += sizes[b]
+        groups[a], groups[b] = groups[a] + groups[b], []
+        stale = np.isin(nearest, (a, b))
+        stale[a] = True
+        closer = ~stale & ((merged < reach) | ((merged == reach) & (a < nearest)))
+        nearest[closer], reach[closer] = a, merged[closer]
+        rows = np.flatnonzero(stale)
+        nearest[rows] = apart[rows].argmin(axis=1)
+        reach[rows] = apart[rows, nearest[rows]]
+    return [sorted(g) for g in groups if g]
 
 
 def consolidate(vectors: DataFrame, membership: DataFrame, most: int, method: str = "farthest_first") -> DataFrame:
