@@ -221,19 +221,35 @@ def test_text_functions(spark):
     assert one(T.escape_pointer, "a~b/c") == "a~0b~1c"
 
 
-def test_ledger(spark):
-    ledger = cost.Ledger(Decimal(10))
+def test_ledger(spark, tmp_path):
+    path = tmp_path / "ledger.json"
+    ledger = cost.Ledger(Decimal(10), path)
     ledger.reserve("a", Decimal(6))
     with pytest.raises(ValueError):
         ledger.reserve("b", Decimal(5))
     ledger.settle("a", Decimal(4))
     ledger.reserve("b", Decimal(5))
+    # A failed request may have been billed: its reservation stays charged.
     ledger.fail("b")
     with pytest.raises(ValueError):
-        ledger.raise_ceiling(Decimal(20))
-    ledger.raise_ceiling(Decimal(20), allowed=True)
+        cost.Ledger(Decimal(20), path)
+    ledger = cost.Ledger(Decimal(20), path, allow_increase=True)
+    with pytest.raises(ValueError):
+        ledger.raise_ceiling(Decimal(30))
     row = cost.ledger_snapshot(ledger.table(spark), ledger.ceiling).first()
-    assert (row["charged"], row["remaining"], row["completed"], row["unsettled"]) == (4, 16, 1, 0)
+    assert (row["charged"], row["remaining"], row["completed"], row["unsettled"]) == (9, 11, 1, 1)
+    assert cost.Ledger(Decimal(20), path).charged == 9
+    ledger.reserve("c", Decimal(1))
+    ledger.settle("c", None)
+    with pytest.raises(ValueError):
+        ledger.settle("c", Decimal(1))
+    ledger.reserve("d", Decimal(10))
+    with pytest.raises(ValueError):
+        ledger.settle("d", Decimal(11))
+    assert cost.Ledger(Decimal(20), path).entries["d"]["state"] == "completed"
+    path.write_text("[]")
+    with pytest.raises(ValueError):
+        cost.Ledger(Decimal(20), path)
 
 
 @pytest.mark.parametrize(("count", "most_items", "most_tokens", "ranges"), [(50, 4, 100, 1), (300, 4, 100, 8), (300, 40, 900, 16), (60, 100, 10_000, 16), (200, 1, 5, 4), (120, 7, 30, 5)])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.plans.session import settled
+from threadloom.sources.archive_json import write_json
 
 MONEY = "decimal(38,18)"
 
@@ -97,21 +100,46 @@ def scheduled_plan(estimate: DataFrame, embedding: Price, profile: Price, taxono
 
 
 def ledger_snapshot(entries: DataFrame, ceiling: Decimal) -> DataFrame:
-    """One row: charged, remaining (never below 0), completed, unsettled. entries: state, reserved, settled."""
-    charged = F.coalesce(F.sum(F.when(F.col("state") == "completed", F.col("settled")).when(F.col("state") == "reserved", F.col("reserved")).otherwise(F.coalesce("settled", F.lit(0).cast(MONEY)))), F.lit(0)).cast(MONEY)
-    rows = entries.agg(charged.alias("charged"), F.count_if(F.col("state") == "completed").alias("completed"), F.count_if(F.col("state") == "reserved").alias("unsettled"))
+    """One row: charged, remaining (never below 0), completed, unsettled. entries: state, reserved, settled.
+
+    A request that isn't completed is charged what was reserved for it, also if it failed: it may have been billed.
+    """
+    done = F.col("state") == "completed"
+    charged = F.coalesce(F.sum(F.when(done, F.col("settled")).otherwise(F.col("reserved"))), F.lit(0)).cast(MONEY)
+    rows = entries.agg(charged.alias("charged"), F.count_if(done).alias("completed"), F.count_if(~done).alias("unsettled"))
     return rows.withColumn("remaining", F.greatest(F.lit(0).cast(MONEY), F.lit(ceiling).cast(MONEY) - F.col("charged")))
 
 
 class Ledger:
-    """Reservations before a request, settlement after it; the ceiling can only grow, and only when asked."""
+    """Reservations before a request, settlement after it; the ceiling can only grow, and only when asked.
 
-    def __init__(self, ceiling: Decimal):
-        self.ceiling, self.entries = ceiling, {}
+    With a path, each change is on disk, whole, before the method returns; a ledger found there goes on, if its ceiling is
+    the same or may grow.
+    """
+
+    def __init__(self, ceiling: Decimal, path: str | Path | None = None, allow_increase: bool = False):
+        if ceiling <= 0:
+            raise ValueError("the ceiling must be positive")
+        self.ceiling, self.entries, self.path = ceiling, {}, Path(path) if path else None
+        if self.path is not None and self.path.is_file():
+            try:
+                found = json.loads(self.path.read_text(encoding="utf-8"))
+                self.ceiling = Decimal(found["ceiling"])
+                self.entries = {n: {"state": e["state"], "reserved": Decimal(e["reserved"]), "settled": Decimal(e["settled"])} for n, e in found["entries"].items()}
+            except (AttributeError, KeyError, TypeError, ValueError, ArithmeticError) as e:
+                raise ValueError("the ledger on disk can't be read") from e
+            if self.ceiling != ceiling:
+                self.raise_ceiling(ceiling, allow_increase)
+        else:
+            self._keep()
+
+    def _keep(self) -> None:
+        if self.path is not None:
+            write_json(self.path, {"ceiling": self.ceiling, "entries": self.entries})
 
     @property
     def charged(self) -> Decimal:
-        return sum((e["settled"] if e["state"] != "reserved" else e["reserved"] for e in self.entries.values()), Decimal(0))
+        return sum((e["settled"] if e["state"] == "completed" else e["reserved"] for e in self.entries.values()), Decimal(0))
 
     def reserve(self, name: str, amount: Decimal) -> None:
         if name in self.entries or amount < 0:
@@ -119,22 +147,29 @@ class Ledger:
         if self.charged + amount > self.ceiling:
             raise ValueError("the reservation exceeds the ceiling")
         self.entries[name] = {"state": "reserved", "reserved": amount, "settled": Decimal(0)}
-
-    def _end(self, name: str, state: str, amount: Decimal) -> None:
-        if self.entries.get(name, {}).get("state") != "reserved":
-            raise ValueError("only a reservation can be settled")
-        self.entries[name] |= {"state": state, "settled": amount}
-
-    def settle(self, name: str, amount: Decimal) -> None:
-        self._end(name, "completed", amount)
-
-    def fail(self, name: str, amount: Decimal = Decimal(0)) -> None:
-        self._end(name, "failed", amount)
+        self._keep()
+
+    def settle(self, name: str, amount: Decimal | None) -> None:
+        """Charges what was used, or the reservation where that isn't known. Beyond the ceiling all stops."""
+        entry = self.entries.get(name, {})
+        if entry.get("state") != "reserved" or (amount is not None and amount < 0):
+            raise ValueError("only a reservation can be settled, by an amount that isn't negative")
+        self.entries[name] = entry | {"state": "completed", "settled": entry["reserved"] if amount is None else amount}
+        self._keep()
+        if self.charged > self.ceiling:
+            raise ValueError("more was used than the ceiling allows")
+
+    def fail(self, name: str) -> None:
+        """The reservation stays charged; a request that has ended stays as it is."""
+        if self.entries[name]["state"] == "reserved":
+            self.entries[name] = self.entries[name] | {"state": "failed"}
+            self._keep()
 
     def raise_ceiling(self, ceiling: Decimal, allowed: bool = False) -> None:
         if not allowed or ceiling < self.ceiling:
             raise ValueError("the ceiling only grows, on request")
         self.ceiling = ceiling
+        self._keep()
 
     def table(self, spark) -> DataFrame:
         rows = [(n, e["state"], e["reserved"], e["settled"]) for n, e in self.entries.items()]

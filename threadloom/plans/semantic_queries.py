@@ -493,7 +493,7 @@ def cost_plan(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'reserved' ELSE 'failed' END AS state, round(o_totalprice, 2)::DECIMAL(18, 2) AS reserved, round(o_totalprice, 2)::DECIMAL(18, 2) - 1 AS settled FROM orders),
-s AS (SELECT sum(CASE WHEN state = 'reserved' THEN reserved ELSE settled END)::DECIMAL(38, 2) AS charged, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'reserved') AS unsettled FROM l)
+s AS (SELECT sum(CASE WHEN state = 'completed' THEN settled ELSE reserved END)::DECIMAL(38, 2) AS charged, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state <> 'completed') AS unsettled FROM l)
 SELECT round(charged::DOUBLE, 6) AS charged, completed, unsettled, round(greatest(0, 1000000000000 - charged)::DOUBLE, 6) AS remaining FROM s""")
 def ledger_snapshot(spark, sf_dir):
     orders = X.read(spark, sf_dir, "orders")
