@@ -311,6 +311,28 @@ def test_cached_embeddings(spark, tmp_path):
         providers.covered(items, "conversation_key", first.limit(3), "key")
 
 
+def test_cached_profiles(spark, tmp_path):
+    calls = []
+
+    class Each:
+        name, model = "each", "1"
+
+        def analyze(self, items):
+            calls.append(items.count())
+            return items.select("conversation_key", "position", F.col("title").alias("synopsis"), F.array("lang").alias("projects"))
+
+    items = X.items(spark, "/root/testdata/sf0.001").orderBy("source_index").limit(10).withColumn("text_sha256", F.sha2("text", 256))
+    folder = str(tmp_path / "profiles")
+    some = providers.cached_profiles(items.limit(6), Each(), folder)
+    first = providers.cached_profiles(items, Each(), folder)
+    again = providers.cached_profiles(items, Each(), folder)
+    assert calls == [6, 4, 0] and some.count() == 6
+    assert first.columns == again.columns == some.columns and sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+    moved = providers.cached_profiles(items.withColumn("position", F.col("position") + 5), Each(), folder)
+    assert calls[-1] == 0 and {r["position"] for r in moved.collect()} == set(range(6, 16))
+    assert providers.cached_profiles(items, providers.LocalAnalyses(), folder + "-local").count() == 10 and not (tmp_path / "profiles-local").exists()
+
+
 def test_evaluation(spark):
     truth = spark.createDataFrame([("t1", i) for i in range(10)] + [("t2", i) for i in range(10, 14)], "name string, member int")
     found = spark.createDataFrame([("p1", i) for i in range(5)] + [("p2", i) for i in range(5, 12)], "name string, member int")

@@ -24,6 +24,7 @@ class EmbeddingProvider(Protocol):
 class AnalysisProvider(Protocol):
     name: str
     model: str
+    # A provider whose profile of an item depends on other items has `contextual` set, and isn't cached.
 
     def analyze(self, items: DataFrame) -> DataFrame:
         """One profile per item, by conversation_key."""
@@ -50,6 +51,7 @@ class LocalEmbeddings:
 class LocalAnalyses:
     batch_size: int | None = 8
     name: str = "local"
+    contextual: bool = True
     model: str = "transparent-semantic-heuristics-v2"
 
     def analyze(self, items: DataFrame) -> DataFrame:
@@ -72,6 +74,10 @@ class Routed:
     def model(self) -> str:
         return f"{self.baseline.model}+{self.refined.model}+{self.naming.model}"
 
+    @property
+    def contextual(self) -> bool:
+        return getattr(self.baseline, "contextual", False)
+
     def analyze(self, items: DataFrame) -> DataFrame:
         return self.baseline.analyze(items)
 
@@ -85,23 +91,49 @@ def covered(wanted: DataFrame, key: str, got: DataFrame, got_key: str) -> None:
         raise ValueError("a provider's answer doesn't cover the keys it was asked for")
 
 
-def cached_embeddings(items: DataFrame, provider: EmbeddingProvider, folder: str | None) -> DataFrame:
-    """Embeddings by (provider, model, text digest): what the folder has isn't computed again; new ones are appended."""
+def _cached(items: DataFrame, provider: EmbeddingProvider | AnalysisProvider, folder: str, key: str, produce) -> DataFrame:
+    """What `produce` gives for the items, by (provider, model, text digest, title): rows in the folder aren't made again.
+
+    New rows are appended as Parquet files in one commit; a write that doesn't end leaves its files in a temporary folder.
+    """
     wanted = items.withColumn("key", F.col("conversation_key")).withColumn("cache_key", cost.cache_key(F.lit(provider.name), F.lit(provider.model), F.col("text_sha256"), F.sha2("title", 256)))
-    spark = items.sparkSession
     try:
-        cache = spark.read.parquet(folder) if folder else None
+        cache = items.sparkSession.read.parquet(folder)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         cache = None
     if cache is None:
-        cache = spark.createDataFrame([], "key string, cache_key string, vector array<double>, seq long")
-    hits = settled(cost.cached(wanted, cache).select("key", "vector"))
-    lacking = wanted.join(cache.select("key", "cache_key"), ["key", "cache_key"], "left_anti")
-    fresh = settled(provider.embed(lacking))
-    covered(lacking, "key", fresh, "key")
+        hits, lacking, n = None, wanted, 0
+    else:
+        hits = settled(cost.cached(wanted, cache).drop("cache_key", "seq"))
+        lacking, n = cost.missing(wanted, cache), cache.count()
+    fresh = settled(produce(lacking.drop("key", "cache_key")))
+    covered(lacking, "key", fresh, key)
+    keyed = fresh if key == "key" else fresh.withColumn("key", F.col(key))
+    if hits is None or not fresh.isEmpty():
+        keyed.join(wanted.select("key", "cache_key"), "key").withColumn("seq", F.lit(n).cast("long")).write.mode("append").option("compression", "zstd").parquet(folder)
+    return fresh if hits is None else hits.select(*fresh.columns).unionByName(fresh)
+
+
+def cached_embeddings(items: DataFrame, provider: EmbeddingProvider, folder: str | None) -> DataFrame:
+    """Embeddings: what the folder has isn't computed again; new ones are appended."""
     if folder:
-        n = cache.count()
-        fresh.join(wanted.select("key", "cache_key"), "key").withColumn("seq", F.lit(n).cast("long")).write.mode("append").option("compression", "zstd").parquet(folder)
-    return hits.unionByName(fresh)
+        return _cached(items, provider, folder, "key", provider.embed)
+    out = settled(provider.embed(items))
+    covered(items, "conversation_key", out, "key")
+    return out
+
+
+def cached_profiles(items: DataFrame, provider: AnalysisProvider, folder: str | None) -> DataFrame:
+    """Profiles in the same way, for providers that judge each item by itself.
+
+    The local one doesn't: which handles recur depends on an item's neighbours and position, so it is asked for all items.
+    """
+    if folder and not getattr(provider, "contextual", False):
+        out = _cached(items, provider, folder, "conversation_key", provider.analyze)
+        # Places move when an archive grows: they are those of the items, not those of the cache.
+        return out.drop("position").join(items.select("conversation_key", "position"), "conversation_key").select(*out.columns)
+    out = settled(provider.analyze(items))
+    covered(items, "conversation_key", out, "conversation_key")
+    return out

@@ -129,9 +129,8 @@ def atlas(frames: dict, embeddings: providers.EmbeddingProvider, analyses: provi
     items = settled(represent.chronological(represent.representations(frames["conversation"], path_blocks(frames), options.max_characters, options.max_conversations, options.include_reasoning)))
     if items.isEmpty():
         raise ValueError("an empty archive has no atlas")
-    vectors = settled(providers.cached_embeddings(items, embeddings, options.cache_folder))
-    made = settled(analyses.analyze(items))
-    providers.covered(items, "conversation_key", made, "conversation_key")
+    vectors = providers.cached_embeddings(items, embeddings, options.cache_folder)
+    made = providers.cached_profiles(items, analyses, f"{options.cache_folder}-profiles" if options.cache_folder else None)
     edges = settled(simgraph.similarity_graph(vectors, options.min_similarity, options.max_neighbors))
     keys = vectors.select("key")
     found = settled(simgraph.communities(keys, edges, options.resolution))
@@ -144,7 +143,7 @@ def atlas(frames: dict, embeddings: providers.EmbeddingProvider, analyses: provi
         chosen = longitudinal.refinement(members, options.refined_per_category, options.max_refined)
         again = items.join(chosen.select(F.col("key").alias("conversation_key")), "conversation_key", "left_semi")
         better = analyses.refined if isinstance(analyses, providers.Routed) else analyses
-        made = settled(P.refine(made, better.analyze(again)))
+        made = settled(P.refine(made, providers.cached_profiles(again, better, f"{options.cache_folder}-refined" if options.cache_folder else None)))
     drafts = settled(taxonomy.drafts(slim, P.labels(made), edges, dates))
     naming = settled(analyses.interpret(drafts))
     providers.covered(drafts, "category", naming, "category")
