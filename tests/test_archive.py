@@ -7,9 +7,10 @@ import zipfile
 from datetime import UTC, datetime
 from pathlib import Path
 
+import duckdb
 import pytest
 
-from threadloom import cli
+from threadloom import catalogue, cli
 from threadloom import schema as S
 from threadloom.plans import workflows
 from threadloom.sources import archive_json, normalize, render, zip_export
@@ -165,6 +166,27 @@ def test_every_kind_of_trouble(spark):
     assert codes(normalize.normalize(payload(spark, b"\xef\xbb\xbf[]"))) == ["utf8_bom"]
 
 
+def test_a_table_of_malformed_records_keeps_every_warning(spark, tmp_path):
+    """More warnings than an archive's budget: the query over a table has none, an archive still has."""
+    spark.range(12_100).selectExpr("id as conv_id", "0L as turn", "'hello' as text", "'user' as role").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["malformed_record_warnings"](spark, str(tmp_path)).select("conversation_id", "code").collect()), key=repr)
+    engine = duckdb.connect()
+    engine.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = engine.execute(f"SELECT conversation_id, code FROM ({catalogue.SQL['malformed_record_warnings']})").fetchall()
+    assert len(want) > S.Limits().max_warnings and got == sorted(want, key=repr)
+
+
+def test_relations_are_whole_and_an_archive_is_bounded(spark):
+    talks = payload(spark, [{"mapping": {}} for _ in range(3)])
+    few = S.Limits(max_warnings=2)
+    assert codes(normalize.relations(normalize.decoded(talks, few))) == ["missing_current_node"] * 3
+    assert codes(normalize.normalize(talks, few)) == ["missing_current_node"] * 2 + ["warnings_suppressed"]
+    small = S.Limits(max_conversations=2)
+    assert normalize.relations(normalize.decoded(talks, small))["conversation"].count() == 3
+    with pytest.raises(S.LimitExceeded):
+        normalize.normalize(talks, small)
+
+
 def test_blocks():
     record = normalize.Record({"mapping": {}, "current_node": None}, "p", 0, S.Limits())
     kinds = lambda content: [(b["type"], b["text"], b["reference"]) for b in record.blocks("n", content, "")]

@@ -345,17 +345,18 @@ def _records(limits: S.Limits):
     return run
 
 
-def normalize(payloads: DataFrame, limits: S.Limits = S.Limits(), strict: bool = False) -> dict[str, DataFrame]:
-    """conversation, node, block and warning from payloads (part, path, content).
+def decoded(payloads: DataFrame, limits: S.Limits = S.Limits()) -> DataFrame:
+    """A row for each record of the payloads (part, path, content), with its nodes and warnings, and one for each payload."""
+    return settled(payloads.select("part", "path", "content").mapInPandas(_records(limits), _RECORD))
+
 
-    source_index is the position among all conversations, in order of part and record. Warnings beyond max_warnings, in
-    the order of the records, are counted by one `warnings_suppressed` row.
+def relations(rows: DataFrame) -> dict[str, DataFrame]:
+    """conversation, node, message, block and warning from decoded rows, all of them: an archive's bounds are `normalize`'s.
+
+    source_index is the position among all conversations, in order of part and record. Warnings keep part, record_index
+    and seq, which order them.
     """
-    rows = settled(payloads.select("part", "path", "content").mapInPandas(_records(limits), _RECORD))
     talks = rows.where("problem is null")
-    totals = rows.where("record_index >= 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("nodes")).first()
-    if totals["n"] > limits.max_conversations or totals["nodes"] > limits.max_total_nodes:
-        raise S.LimitExceeded("the payloads exceed the limits of conversations or nodes")
     # A part's records are numbered already; the parts before it shift them: a few rows, one per part.
     counts = talks.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     ahead = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
@@ -371,7 +372,20 @@ def normalize(payloads: DataFrame, limits: S.Limits = S.Limits(), strict: bool =
     repeated = F.row_number().over(Window.partitionBy("conversation_id").orderBy("source_index")) > 1
     twins = talks.where("conversation_id is not null").withColumn("_again", repeated).where("_again")
     twins = twins.select("part", "record_index", F.lit(1 << 30).alias("seq"), F.lit("warning").alias("severity"), F.lit("duplicate_conversation_id").alias("code"), "source_path", "conversation_id", F.lit(None).cast("string").alias("node_id"), F.concat(F.lit("/"), F.col("record_index").cast("string"), F.lit("/id")).alias("location"), F.lit(None).cast("string").alias("context"))
-    warning = settled(told.unionByName(twins))
+    return {"conversation": conversation, "node": node, "message": message.drop("content"), "block": block, "warning": told.unionByName(twins)}
+
+
+def normalize(payloads: DataFrame, limits: S.Limits = S.Limits(), strict: bool = False) -> dict[str, DataFrame]:
+    """The relations of one archive, within its limits.
+
+    Warnings beyond max_warnings, in the order of the records, are counted by one `warnings_suppressed` row.
+    """
+    rows = decoded(payloads, limits)
+    totals = rows.where("record_index >= 0").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("nodes")).first()
+    if totals["n"] > limits.max_conversations or totals["nodes"] > limits.max_total_nodes:
+        raise S.LimitExceeded("the payloads exceed the limits of conversations or nodes")
+    frames = relations(rows)
+    warning = settled(frames["warning"])
     extra = warning.count() - limits.max_warnings
     order = ["part", "record_index", "seq"]
     if extra > 0:
@@ -385,4 +399,4 @@ def normalize(payloads: DataFrame, limits: S.Limits = S.Limits(), strict: bool =
         warning = warning.unionByName(payloads.sparkSession.createDataFrame([("info", "utf8_bom", None, None, None, None, json.dumps({"member_count": marked}))], S.WARNING))
     if strict and not warning.isEmpty():
         raise S.StrictModeViolation("strict mode allows no warnings")
-    return {"conversation": conversation, "node": node, "message": message.drop("content"), "block": block, "warning": warning}
+    return frames | {"warning": warning}
